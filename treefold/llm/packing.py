@@ -39,7 +39,7 @@ def pieces(df: DataFrame, path: str, room: int = 4096, key: str = "doc_id", text
     end = array("I", [SEPARATOR]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, row = wordbpe.load(path), TaskContext.get().partitionId() << 40
+        bpe, row = wordbpe.load(path, library=True), TaskContext.get().partitionId() << 40
         for batch in batches:
             at, out = [], {k: [] for k in ("_row", "piece", "start", "length", "ids_crc32")} | ({"ids": []} if ids else {})
             for i, x in enumerate(batch.column(1)):

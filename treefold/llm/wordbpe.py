@@ -53,7 +53,8 @@ class Cache(dict):
 
 
 class WordBPE:
-    def __init__(self, path: str, room: int = 500_000):
+    def __init__(self, path: str, room: int = 800_000, library: bool = False):
+        """With library, words are merged by the library itself instead of fragment by fragment."""
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -71,18 +72,16 @@ class WordBPE:
         for token in self.vocab:
             symbols = self.symbols(token[: -len(self.end)]) if self.end and token.endswith(self.end) and token != self.end else list(token)
             self.inside.update(zip(symbols, symbols[1:]))
-        self.known = Cache(self.encode_word, room)
+        self.by_library = library
+        # ids by chunk of text; a word of the pre-tokenizer is looked up as the chunk that it would be
         self.chunks = Cache(self.encode_chunk, room)
 
     def symbols(self, word: str) -> list[str]:
         return [*word[:-1], word[-1] + self.end] if word else []
 
-    def words(self, text: str) -> list[str]:
-        """The pre-tokenizer's pieces in the byte alphabet."""
-        if PLAIN.fullmatch(text):
-            found = PLAIN_WORDS.findall(text.lower())
-            return found if text.isascii() else ["".join(map(self.bytes.__getitem__, w.encode())) for w in found]
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+    def visible(self, word: str) -> str:
+        """A word in the byte alphabet."""
+        return word if word.isascii() else "".join(map(self.bytes.__getitem__, word.encode()))
 
     def fragments(self, word: str) -> list[list[str]]:
         """The word's symbols, split at every certain cut."""
@@ -94,6 +93,9 @@ class WordBPE:
         return [symbols[a:b] for a, b in zip([0, *cuts], [*cuts, len(symbols)])]
 
     def encode_word(self, word: str) -> bytes:
+        """Ids of one piece, given in the byte alphabet."""
+        if self.by_library:
+            return array("I", [t.id for t in self.library.model.tokenize(word)]).tobytes()
         return array("I", [self.vocab[s] for f in self.fragments(word) for s in self.merge(f)]).tobytes()
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -131,14 +133,22 @@ class WordBPE:
                     heapq.heappush(heap, (r, x, symbols[x], symbols[y]))
         return [s for s in symbols if s]
 
-    def encode_plain(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.words(text)))
+    def encode_text(self, text: str) -> bytes:
+        if not PLAIN.fullmatch(text):
+            pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            return b"".join([self.encode_word(w) for w, _ in pieces])
+        words = PLAIN_WORDS.findall(lower := text.lower())
+        if len(words) == 1 and lower == text:
+            return self.encode_word(self.visible(text))
+        return b"".join([self.chunks[w.encode()] for w in words])
 
     def encode_chunk(self, chunk: bytes) -> bytes:
+        if chunk.isalpha() and chunk.islower():
+            return self.encode_word(chunk.decode())
         text = chunk.decode("utf-8", "surrogatepass")
         if self.cut_special is None or "<" not in text:
-            return self.encode_plain(text)
-        return b"".join(array("I", [self.special[x]]).tobytes() if x in self.special else self.encode_plain(x) for x in self.cut_special.split(text) if x)
+            return self.encode_text(text)
+        return b"".join(array("I", [self.special[x]]).tobytes() if x in self.special else self.encode_text(x) for x in self.cut_special.split(text) if x)
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit numbers."""
@@ -149,14 +159,14 @@ class WordBPE:
         return " ".join(map(self.names.__getitem__, ids))
 
 
-_loaded: dict[str, WordBPE] = {}
+_loaded: dict[tuple[str, bool], WordBPE] = {}
 
 
-def load(path: str) -> WordBPE:
+def load(path: str, library: bool = False) -> WordBPE:
     """One encoder a worker process."""
-    if path not in _loaded:
-        _loaded[path] = WordBPE(path)
-    return _loaded[path]
+    if (path, library) not in _loaded:
+        _loaded[path, library] = WordBPE(path, library=library)
+    return _loaded[path, library]
 
 
 def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = True, decoded: bool = True, digests: bool = False) -> DataFrame:
