@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -35,6 +36,13 @@ class Scratch:
         for path in [self.path(n) for n in names] or [self.top]:
             p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        free(self.spark)
+
+
+def free(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished steps now rather than at its next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -55,3 +55,18 @@ def op3_block_naming(spark, sf_dir):
     from treefold.llm import exactdup
 
     return exactdup.mark(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents), p AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS pos, len(ws) AS n FROM w), "
+    "s AS (SELECT doc_id, pos, word, CASE WHEN pos + 34 <= n THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) END AS k FROM p), "
+    "d AS (SELECT k FROM s WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1), f AS (SELECT doc_id, pos, word, (k IS NOT NULL AND k IN (SELECT k FROM d))::INT AS dup FROM s), "
+    "c AS (SELECT doc_id, pos, word, max(dup) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM f), "
+    "g AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY pos) AS kept FROM c GROUP BY doc_id) "
+    "SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g ON g.doc_id = w.doc_id"
+)
+def op9_substring_index(spark, sf_dir):
+    """Words of documents that lie in a repeated 35-word window."""
+    from treefold.llm import substring
+
+    return substring.mark(table(spark, sf_dir, "documents"), window=35)
