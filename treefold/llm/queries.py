@@ -70,3 +70,20 @@ def op9_substring_index(spark, sf_dir):
     from treefold.llm import substring
 
     return substring.mark(table(spark, sf_dir, "documents"), window=35)
+
+
+@query(
+    r"WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents), "
+    "sh AS (SELECT DISTINCT doc_id, hash(s) AS s FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(generate_series(1, len(ws) - 3), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) "
+    "WHEN len(ws) > 0 THEN [len(ws) || ' words: ' || array_to_string(ws, ' ')] ELSE [] END) AS s FROM w)), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), "
+    "j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL), "
+    "e AS (SELECT a, b FROM j JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)), "
+    "both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), "
+    "r AS (WITH RECURSIVE reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a) SELECT a, min(b) AS m FROM reach GROUP BY a) "
+    "SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(r.m, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(r.m, w.doc_id)) AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = w.doc_id"
+)
+def op10_signature_join(spark, sf_dir):
+    """Components of near-duplicate documents, by distinct 4-word shingles."""
+    from treefold.llm import neardup
+
+    return neardup.mark(table(spark, sf_dir, "documents"), size=4, percent=80)
