@@ -218,12 +218,12 @@ def _open(df: DataFrame, opened: DataFrame, key: str, text: str, window: int) ->
             cols = [[np.empty(0, t)] for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
             for x, o in zip(batch.column(0), batch.column(1)):
                 a, b = _words.of(words_of(x.as_py()))
-                for r in o.as_py():
-                    j = np.arange(r["windows"])
-                    start = r["first"] + j
-                    lo, hi = start[0], start[-1] + window
-                    for c, v in zip(cols, (span_hash(a[lo:hi], j, j + window, M3), span_hash(b[lo:hi], j, j + window, M1), np.full(len(j), r["fp"]), np.full(len(j), r["body"]), j)):
-                        c.append(v)
+                first, many, fps, bodies = (o.values.field(k).to_numpy() for k in ("first", "windows", "fp", "body"))
+                many = many.astype(np.int64)
+                j = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                start = np.repeat(first, many) + j
+                for c, v in zip(cols, (span_hash(a, start, start + window, M3), span_hash(b, start, start + window, M1), np.repeat(fps, many), np.repeat(bodies, many), j)):
+                    c.append(v)
             w1, w2, fp, body, j = (np.concatenate(c) for c in cols)
             yield pa.RecordBatch.from_arrays([_signed(w1), _signed(w2), pa.array(fp), pa.array(body), pa.array(j.astype(np.int16))], names=["w1", "w2", "fp", "body", "j"])
 
