@@ -9,8 +9,9 @@ has no partner and is skipped. Any pair with enough collisions shares one of the
 of either set, so only these prefixes are merged, rarest first; what many documents share drops out.
 
 No pairs within a group of copies are expanded. Equal sets are one node. In each posting list all members meet one
-pivot first; confirmed links are contracted to components; only members of one list that are in different components
-then still meet. Every link of the graph lies within one of the resulting components.
+pivot first, and confirmed links are contracted to components. Lists whose members are in one component are done. The
+others are joined to groups, and the members of a group that are in different components are compared exactly, block by
+block; no pairs are emitted but those that join components. Every link lies within one of the resulting components.
 
 With 64 coordinates and 34 matches a pair of similarity 0.8 is missed with probability 1e-7.
 
@@ -140,37 +141,82 @@ def link(nodes: DataFrame, docs: DataFrame, scratch: Scratch, key: str, text: st
     texts = scratch.store(texts, "texts")
     used = scratch.store(used.select("sid", "keys"), "used")
     free(docs.sparkSession)
-    checked, comp = None, None
-    for step in ("least", "greatest", "rest"):
-        near = lists if comp is None else lists.join(comp.select(F.col("node").alias("sid"), "comp"), "sid", "left")
-        near = near.select("k", "sid", "n", (F.col("sid") if comp is None else F.coalesce("comp", "sid")).alias("c"))
-        if comp is not None:  # lists within one component are done
-            mixed = near.groupBy("k").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("k")
-            near = near.join(mixed, "k", "left_semi")
-        if step == "rest":
-            other = near
-        else:
-            pick = (F.min if step == "least" else F.max)(F.struct("sid", "n", "c"))
-            other = near.groupBy("k").agg(pick.alias("p")).select("k", "p.*")
-        other = other.select("k", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-        fit = (F.col("c") != F.col("d")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        fit = fit & (F.col("sid") < F.col("b")) if step == "rest" else fit
-        met = near.join(other, "k").where(fit).select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b"), F.col("sid").alias("from")).distinct()
-        if checked is not None:
-            met = met.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        sig = used.select(F.col("sid").alias("a"), F.col("keys").alias("ka")), used.select(F.col("sid").alias("b"), F.col("keys").alias("kb"))
-        same = met.join(sig[0], "a").join(sig[1], "b").select("a", "b", "from", F.size(F.array_intersect("ka", "kb")).alias("hits")).where(F.col("hits") >= matches)
-        if step != "rest":  # a member meets the pivot it collides with most; the others come later if still needed
-            same = same.groupBy("from").agg(F.max(F.struct("hits", F.col("a"), F.col("b"))).alias("z")).select("z.a", "z.b")
-        pairs = scratch.store(same.select("a", "b").distinct(), f"pairs-{step}")
-        done = scratch.store(confirm(pairs, texts, size, percent), f"checked-{step}")
-        checked = done if checked is None else checked.unionByName(done)
-        edges = checked.where("linked").select("a", "b")
-        free(docs.sparkSession)
-        if edges.limit(1).count():
-            comp = scratch.store(components(edges, scratch, f"cc-{step}"), f"comp-{step}")
-    scratch.drop("texts", "prefix")
-    return comp
+    # every member meets the pivot it collides with most, of the pivots of its lists
+    pivot = lists.groupBy("k").agg(F.min(F.struct("sid", "n")).alias("p")).select("k", F.col("p.sid").alias("p"), F.col("p.n").alias("m"))
+    fit = (F.col("sid") != F.col("p")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    met = lists.join(pivot, "k").where(fit).select("sid", "p").distinct()
+    sig = used.select("sid", F.col("keys").alias("ka")), used.select(F.col("sid").alias("p"), F.col("keys").alias("kb"))
+    hits = met.join(sig[0], "sid").join(sig[1], "p").select("sid", "p", F.size(F.array_intersect("ka", "kb")).alias("hits")).where(F.col("hits") >= matches)
+    best = hits.groupBy("sid").agg(F.max(F.struct("hits", "p")).alias("z")).select(F.col("sid").alias("b"), F.col("z.p").alias("a"))
+    edges = scratch.store(confirm(scratch.store(best, "pairs"), texts, size, percent).where("linked").select("a", "b"), "edges")
+    comp = scratch.store(components(edges, scratch, "cc"), "comp")
+    # lists whose members are in several components still need their members compared
+    near = lists.select("k", "sid", "n").join(comp.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("c", F.coalesce("comp", "sid")).drop("comp")
+    mixed = near.groupBy("k").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("sid").alias("p")).where("x <> y").select("k", "p")
+    open_lists = scratch.store(near.join(mixed, "k"), "open")
+    group = components(open_lists.select(F.col("sid").alias("a"), F.col("p").alias("b")).where("a <> b"), scratch, "groups").select(F.col("node").alias("sid"), F.col("comp").alias("g"))
+    more = scratch.store(compare(open_lists.select("sid", "n", "c").distinct().join(group, "sid"), texts, size, percent), "more")
+    scratch.drop("texts", "prefix", "open", "lists")
+    return scratch.store(components(edges.unionByName(more), scratch, "all"), "linked")
+
+
+def compare(members: DataFrame, texts: DataFrame, size: int, percent: int, block_rows: int = 400, block_shingles: int = 300_000) -> DataFrame:
+    """members (sid, n, c, g) to edges a, b that join the components c of each group g wherever any two members link.
+
+    Groups are dealt by hash to blocks of bounded size, and each pair of blocks is one task's work. Their intersections
+    are products of 0/1 matrices over the shingles that occur twice. Of all links only a spanning forest is returned.
+    """
+    shape = members.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
+    dealt = members.join(shape, "g").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("g", "sid", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    work = dealt.join(texts, "sid")
+
+    def run(key: tuple, pdf):
+        import pandas as pd
+
+        _, i, j = key
+        found = [shingles(x, size) for x in pdf["text"]]
+        left = np.flatnonzero(pdf["own"].to_numpy() == i)
+        right = np.flatnonzero(pdf["own"].to_numpy() == j)
+        sid, top = pdf["sid"].to_numpy(), {}
+
+        def root(x):
+            while (up := top.setdefault(x, x)) != x:
+                top[x] = x = top[up]
+            return x
+
+        names, edges = pdf["c"].to_numpy(), []
+        for x, y in linked_pairs(found, left, right, percent):
+            if (r := root(names[x])) != (q := root(names[y])):
+                top[r] = q
+                edges.append((min(sid[x], sid[y]), max(sid[x], sid[y])))
+        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+
+    return work.groupBy("g", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def linked_pairs(found: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, width: int = 4096) -> Iterator[tuple[int, int]]:
+    """Pairs from left and right (or within left, if they are the same) that link."""
+    n = np.array([len(x) for x in found])
+    _, column, count = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(found)), n)
+    often = np.cumsum(count >= 2) - 1  # new numbers of the shingles that occur twice
+    keep = count[column] >= 2
+    row, column = row[keep], often[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    inside = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, (at, at + width))
+        m = np.zeros((len(found), width), np.float32)
+        m[row[lo:hi], column[lo:hi] - at] = 1
+        inside += m[left] @ m[right].T
+    both = inside.astype(np.int64)
+    ok = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+    for x, y in zip(*np.nonzero(ok)):
+        if left[x] != right[y]:
+            yield left[x], right[y]
 
 
 def mark(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, coordinates: int = 64, matches: int = 34) -> DataFrame:
