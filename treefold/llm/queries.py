@@ -87,3 +87,39 @@ def op10_signature_join(spark, sf_dir):
     from treefold.llm import neardup
 
     return neardup.mark(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+def fold(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+@query()
+def op1_toxicity(spark, sf_dir):
+    """Expected severity of every whole text; fitted on the labelled rows."""
+    from treefold.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op6_language_id(spark, sf_dir):
+    from treefold.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    held = fold(4) == 2
+    model = langid.fit(docs.where(~held))
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op7_quality_crf(spark, sf_dir):
+    from treefold.llm import linecrf
+
+    docs = table(spark, sf_dir, "documents")
+    held = fold(3) == 1
+    model = linecrf.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    return linecrf.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
