@@ -123,3 +123,60 @@ def op7_quality_crf(spark, sf_dir):
     held = fold(3) == 1
     model = linecrf.fit(docs, table(spark, sf_dir, "labels").where(~held))
     return linecrf.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def captures(pages):
+    """A crawl log of all pages: each was fetched in full once, and asked for again before or after that.
+
+    Page p is fetched at 2p, or a second time as a revisit at 2p + 1 + 2 * (p % 5); every 11th revisit comes before its
+    page. Every 7th has another entity tag, every 13th none, and the URL is written in another way.
+    """
+    from pyspark.sql import functions as F
+
+    p, url = F.col("page_id"), F.col("url")
+    tag, digest = F.concat(F.lit('"'), F.md5("html"), F.lit('"')), F.concat(F.lit("sha1:"), F.sha1("html"))
+    date = F.concat(F.lit("day "), (p % 31).cast("string"))
+    first = F.map_from_arrays(F.array(F.lit("Content-Type"), F.lit("Content-Length"), F.lit("ETag"), F.lit("Cache-Control"), F.lit("X-Served")), F.array(F.lit("text/html"), F.octet_length("html").cast("string"), tag, F.lit("max-age=60"), F.concat(F.lit("node"), (p % 3).cast("string"))))
+    again = F.map_from_arrays(F.array(F.lit("content-length"), F.lit("cache-control"), F.lit("Date"), F.lit("Connection")), F.array(F.lit("0"), F.concat(F.lit("max-age="), (p % 9).cast("string")), date, F.lit("close")))
+    response = F.struct((2 * p).alias("id"), url.alias("url"), (2 * p).alias("ts"), F.lit("response").alias("kind"), tag.alias("etag"), date.alias("last_modified"), digest.alias("digest"), first.alias("headers"))
+    changed = F.when(p % 13 == 0, F.lit(None).cast("string")).when(p % 7 == 0, F.concat(F.lit('"other-'), p.cast("string"), F.lit('"'))).otherwise(F.concat(F.lit("W/"), tag))
+    revisit = F.struct(
+        (2 * p + 1).alias("id"), F.concat(url, F.lit("#seen")).alias("url"), F.when(p % 11 == 0, 2 * p - 1).otherwise(2 * p + 1 + 2 * (p % 5)).alias("ts"), F.lit("revisit").alias("kind"),
+        changed.alias("etag"), date.alias("last_modified"), F.lit(None).cast("string").alias("digest"), again.alias("headers"),
+    )
+    return pages.select("page_id", "url", "html").select(F.explode(F.array(response, revisit)).alias("c")).select("c.*")
+
+
+CANONICAL_SQL = r"""regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '')
+  || CASE WHEN len(parts) > 0 THEN '?' || array_to_string(parts, '&') ELSE '' END"""
+
+
+@query(
+    r"""WITH u AS (SELECT page_id AS p, html, regexp_replace(string_split(trim(url), '#')[1], '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+q AS (SELECT p, html, bare, list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND string_split(x, '=')[1] NOT IN ('fbclid', 'gclid', 'ref', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term'))) AS parts FROM u),
+c AS (SELECT p, html, """ + CANONICAL_SQL + r""" AS canonical FROM q),
+res AS (SELECT 2 * p AS id, 2 * p AS ts, canonical, '"' || md5(html) || '"' AS etag, 'day ' || (p % 31) AS lm, 'sha1:' || sha1(html) AS digest, p, strlen(html) AS len FROM c),
+rev AS (SELECT 2 * p + 1 AS id, CASE WHEN p % 11 = 0 THEN 2 * p - 1 ELSE 2 * p + 1 + 2 * (p % 5) END AS ts, canonical,
+  CASE WHEN p % 13 = 0 THEN NULL WHEN p % 7 = 0 THEN '"other-' || p || '"' ELSE '"' || md5(html) || '"' END AS etag, 'day ' || (p % 31) AS lm, p FROM c),
+j AS (SELECT v.id, v.canonical, v.ts, r.id AS response_id, r.ts AS response_ts, v.p, r.p AS rp, r.len, r.digest AS rdigest, r.etag AS retag,
+  CASE WHEN r.id IS NULL THEN 'no_response' WHEN v.etag IS NOT NULL THEN CASE WHEN v.etag = r.etag THEN 'resolved' ELSE 'mismatch' END WHEN v.lm = r.lm THEN 'resolved' ELSE 'mismatch' END AS status
+  FROM rev v ASOF LEFT JOIN res r ON v.canonical = r.canonical AND v.ts > r.ts)
+SELECT id, canonical, ts, response_id, response_ts, status, CASE WHEN status = 'resolved' THEN rdigest END AS digest,
+  CASE WHEN status = 'resolved' THEN 'cache-control: max-age=' || (p % 9) || chr(10) || 'content-length: ' || len || chr(10) || 'content-type: text/html' || chr(10) || 'date: day ' || (p % 31) || chr(10) || 'etag: ' || retag || chr(10) || 'x-served: node' || (rp % 3)
+  ELSE 'Connection: close' || chr(10) || 'Date: day ' || (p % 31) || chr(10) || 'cache-control: max-age=' || (p % 9) || chr(10) || 'content-length: 0' END AS headers FROM j"""
+)
+def op4_warc_revisits(spark, sf_dir):
+    """Resolves the revisits of a crawl log of all pages."""
+    from treefold.llm import revisit
+
+    found = revisit.resolve(captures(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", revisit.header_text(found["headers"]))
+
+
+@query()
+def op5_learned_partitions(spark, sf_dir):
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    from treefold.llm import ann
+
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where("vec_id % 20 = 0"))
