@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +181,9 @@ def op5_learned_partitions(spark, sf_dir):
 
     rows = table(spark, sf_dir, "embeddings")
     return ann.search(rows, rows.where("vec_id % 20 = 0"))
+
+
+@query()
+def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
