@@ -65,3 +65,23 @@ def hash_sample(df: DataFrame, key: str, rows: int, seed: int = 11) -> DataFrame
     if n <= rows:
         return df
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+
+
+_held: dict = {}
+
+
+def held(name, make):
+    """What a worker process keeps between tasks, such as a cache. Another operator's is let go first, so that a worker
+    that serves one stage after another holds one at a time."""
+    if name not in _held:
+        _held.clear()
+        gc.collect()
+        _held[name] = make()
+    return _held[name]
+
+
+def let_go() -> None:
+    """Frees what other operators left in this worker."""
+    if _held:
+        _held.clear()
+        gc.collect()

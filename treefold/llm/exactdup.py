@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treefold.llm.common import Scratch, fold_ascii, only, shuffle_partitions
+from treefold.llm.common import Scratch, fold_ascii, let_go, only, shuffle_partitions
 
 #: Bytes of blocks that a task remembers having sent; beyond them a block may be sent again.
 REMEMBER = 32 << 20
@@ -36,6 +36,7 @@ def _blocks(df: DataFrame, key: str, text: str, size: int, seed: int) -> DataFra
     key_type = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         row, sent, held = TaskContext.get().partitionId() << SHIFT, set(), 0
         for batch in batches:
             refs, blocks = [], []

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treefold.llm.common import Scratch, free, only
-from treefold.llm.substring import M1, M2, M3, TAG, _words, mix, rolling, tagged, words_of
+from treefold.llm.substring import M1, M2, M3, TAG, mix, rolling, tagged, word_hashes, words_of
 
 STEP = 1024
 
@@ -41,7 +41,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     n = min(size, len(words))
-    return np.unique(mix(rolling(_words.of(words)[0], n, M1) + np.uint64(n) * M3))
+    return np.unique(mix(rolling(word_hashes().of(words)[0], n, M1) + np.uint64(n) * M3))
 
 
 def multipliers(k: int) -> tuple[np.ndarray, np.ndarray]:

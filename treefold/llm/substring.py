@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treefold.llm.common import Scratch, free, only, shuffle_partitions
+from treefold.llm.common import Scratch, free, held, only, shuffle_partitions
 
 #: Odd multipliers for hashing.
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -58,7 +58,8 @@ class WordHashes(dict):
         return self.a[at], self.b[at]
 
 
-_words = WordHashes()
+def word_hashes() -> WordHashes:
+    return held("word hashes", WordHashes)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -147,7 +148,7 @@ def post(df: DataFrame, key: str, text: str, window: int, gram: int) -> DataFram
                 words = words_of(x.as_py())
                 if len(words) < window:
                     continue
-                got = regions(_words.of(words)[0], window, gram)
+                got = regions(word_hashes().of(words)[0], window, gram)
                 at.append(np.full(len(got[0]), i, np.int64))
                 for c, v in zip(cols, got):
                     c.append(v)
@@ -217,7 +218,7 @@ def _open(df: DataFrame, opened: DataFrame, key: str, text: str, window: int) ->
         for batch in them:
             cols = [[np.empty(0, t)] for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
             for x, o in zip(batch.column(0), batch.column(1)):
-                a, b = _words.of(words_of(x.as_py()))
+                a, b = word_hashes().of(words_of(x.as_py()))
                 first, many, fps, bodies = (o.values.field(k).to_numpy() for k in ("first", "windows", "fp", "body"))
                 many = many.astype(np.int64)
                 j = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treefold.llm.common import hash_sample, only
+from treefold.llm.common import hash_sample, let_go, only
 from treefold.llm.wordbpe import Cache
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -137,6 +137,7 @@ def severity(docs: DataFrame, model: Ordinal | None, key: str = "doc_id", text:
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         scorer = Scorer(model)
         for batch in batches:
             out = [[], [], []]
@@ -156,6 +157,7 @@ def keep(docs: DataFrame, model: Ordinal | None, text: str = "text") -> DataFram
     columns, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         scorer = Scorer(model)
         for batch in batches:
             stay = [bool(scorer.above(x.as_py())[0] < 0.5) for x in batch.column(at)]

@@ -24,7 +24,7 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from treefold.llm.common import only
+from treefold.llm.common import held, only
 
 #: Characters whose normal form, lower case and class are plain, so the library's normalizer isn't needed.
 PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]*")
@@ -159,14 +159,9 @@ class WordBPE:
         return " ".join(map(self.names.__getitem__, ids))
 
 
-_loaded: dict[tuple[str, bool], WordBPE] = {}
-
-
 def load(path: str, library: bool = False) -> WordBPE:
     """One encoder a worker process."""
-    if (path, library) not in _loaded:
-        _loaded[path, library] = WordBPE(path, library=library)
-    return _loaded[path, library]
+    return held((path, library), lambda: WordBPE(path, library=library))
 
 
 def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = True, decoded: bool = True, digests: bool = False) -> DataFrame:
