@@ -130,14 +130,14 @@ def mark(df: DataFrame, key: str = "doc_id", text: str = "text", block: int = 16
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", block: int = 16384) -> DataFrame:
     """The rows that stay, with all their columns."""
     scratch = Scratch(df.sparkSession, "exactdup-kept")
-    kept = scratch.store(mark(df, key, text, block).where("kept").select(F.col(key).alias("_k")), "kept").distinct()
-    marks = df.groupBy(key).count().where("count > 1").select(F.col(key).alias("_k"))
-    stay = df.join(kept, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    kept = scratch.store(mark(df, key, text, block).where("kept").select(F.col(key).alias("_treefold_k")), "kept").distinct()
+    marks = df.groupBy(key).count().where("count > 1").select(F.col(key).alias("_treefold_k"))
+    stay = df.join(kept, F.col(key).eqNullSafe(F.col("_treefold_k")), "left_semi")
     if not marks.limit(1).count():
         return stay
     # keys that occur more than once: equal texts among them stand once, and only if that text was kept
-    often = stay.join(marks, F.col(key).eqNullSafe(F.col("_k")), "left_semi").withColumn("_t", fold_ascii(F.col(text)))
-    single = stay.join(marks, F.col(key).eqNullSafe(F.col("_k")), "left_anti")
-    held = mark(df, key, text, block).where("kept").select(F.col(key).alias("_k"), F.col("text_sha256").alias("_s"))
-    often = often.join(held, F.col(key).eqNullSafe(F.col("_k")) & (F.sha2(F.col("_t"), 256) == F.col("_s")), "left_semi")
-    return single.unionByName(often.dropDuplicates([key, "_t"]).drop("_t"))
+    often = stay.join(marks, F.col(key).eqNullSafe(F.col("_treefold_k")), "left_semi").withColumn("_treefold_t", fold_ascii(F.col(text)))
+    single = stay.join(marks, F.col(key).eqNullSafe(F.col("_treefold_k")), "left_anti")
+    held = mark(df, key, text, block).where("kept").select(F.col(key).alias("_treefold_k"), F.col("text_sha256").alias("_treefold_s"))
+    often = often.join(held, F.col(key).eqNullSafe(F.col("_treefold_k")) & (F.sha2(F.col("_treefold_t"), 256) == F.col("_treefold_s")), "left_semi")
+    return single.unionByName(often.dropDuplicates([key, "_treefold_t"]).drop("_treefold_t"))

@@ -136,8 +136,8 @@ def link(nodes: DataFrame, docs: DataFrame, scratch: Scratch, key: str, text: st
     alone = lists.groupBy("k").agg(F.count("*").alias("f")).where("f >= 2").select("k")
     lists = scratch.store(lists.join(alone, "k").join(nodes.select("sid", "n"), "sid"), "lists")
     used = lists.select("sid").distinct().join(nodes.select("sid", "rep", "keys"), "sid")
-    wanted = used.select("sid", F.col(f"rep.{key}").alias("_k"), F.col(f"rep.{TAG}").alias("_t2"))
-    texts = docs.join(wanted, F.col(key).eqNullSafe(F.col("_k")) & (F.col(TAG) == F.col("_t2"))).select("sid", F.col(text).alias("text"))
+    wanted = used.select("sid", F.col(f"rep.{key}").alias("_treefold_k"), F.col(f"rep.{TAG}").alias("_treefold_t"))
+    texts = docs.join(wanted, F.col(key).eqNullSafe(F.col("_treefold_k")) & (F.col(TAG) == F.col("_treefold_t"))).select("sid", F.col(text).alias("text"))
     texts = scratch.store(texts, "texts")
     used = scratch.store(used.select("sid", "keys"), "used")
     free(docs.sparkSession)
@@ -243,5 +243,5 @@ def mark(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows that stay, with all their columns: of each component those with its least key."""
     scratch = Scratch(df.sparkSession, "neardup-kept")
-    kept = scratch.store(mark(df, key, text, **how).where("kept").select(F.col(key).alias("_k")).distinct(), "kept")
-    return df.join(kept, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    kept = scratch.store(mark(df, key, text, **how).where("kept").select(F.col(key).alias("_treefold_k")).distinct(), "kept")
+    return df.join(kept, F.col(key).eqNullSafe(F.col("_treefold_k")), "left_semi")

@@ -129,7 +129,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-TAG = "_t"
+#: Names that no column of a caller has.
+TAG, SPANS = "_treefold_tag", "_treefold_spans"
 
 
 def tagged(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -232,8 +233,8 @@ def _open(df: DataFrame, opened: DataFrame, key: str, text: str, window: int) ->
 
 
 def _by_row(a: DataFrame, b: DataFrame, key: str, how: str) -> DataFrame:
-    b = b.withColumnsRenamed({key: "_k", TAG: "_t2"})
-    return a.join(b, F.col(key).eqNullSafe(F.col("_k")) & (F.col(TAG) == F.col("_t2")), how).drop("_k", "_t2")
+    b = b.withColumnsRenamed({key: "_treefold_k", TAG: "_treefold_t"})
+    return a.join(b, F.col(key).eqNullSafe(F.col("_treefold_k")) & (F.col(TAG) == F.col("_treefold_t")), how).drop("_treefold_k", "_treefold_t")
 
 
 def repeated(df: DataFrame, scratch: Scratch, key: str, text: str, window: int = 35, gram: int = 10, batches: int = 3, fan: int = 3) -> DataFrame:
@@ -286,7 +287,7 @@ def _with_spans(df: DataFrame, key: str, text: str, **how) -> tuple[DataFrame, i
     rows = tagged(df, key, text)
     scratch = Scratch(df.sparkSession, "substring")
     spans = repeated(only(rows, key, text, TAG), scratch, key, text, **how)
-    per_row = spans.groupBy(key, TAG).agg(F.collect_list(F.struct("first", "windows", "js")).alias("_spans"))
+    per_row = spans.groupBy(key, TAG).agg(F.collect_list(F.struct("first", "windows", "js")).alias(SPANS))
     return _by_row(rows, per_row, key, "left"), how.get("window", 35)
 
 
@@ -306,7 +307,7 @@ def mark(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataF
                 sha.append(hashlib.sha256(b" ".join([w for w, c in zip(words, cover) if not c] if gone[-1] else words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=[key, "n_words", "n_removed", "kept_sha256"])
 
-    return both.select(key, text, "_spans").mapInArrow(run, f"`{key}` {key_type}, n_words long, n_removed long, kept_sha256 string")
+    return both.select(key, text, SPANS).mapInArrow(run, f"`{key}` {key_type}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -331,4 +332,4 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> Dat
             cols[at] = pa.array(out, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    return both.select(*columns, "_spans").mapInArrow(run, df.schema)
+    return both.select(*columns, SPANS).mapInArrow(run, df.schema)
