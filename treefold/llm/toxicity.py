@@ -3,8 +3,8 @@
 P(grade <= k) = sigmoid(theta_k - w.x), with one weight vector w for all thresholds theta_1 < theta_2. The result is the
 expected severity, the sum of P(grade > k). Features are sparse: whether a word occurs in the text.
 
-Labels only say toxic or not, so the grades are built from them: 0 for label 0; among toxic documents the share of words
-that are typical of toxic labels puts the lower half into grade 1 and the upper half into grade 2.
+Labels only say toxic or not, so the grades are built from them: 0 for label 0; among toxic documents those with more
+distinct words typical of toxic labels than the median get grade 2, the others 1.
 
 The model is fitted on a bounded sample of labelled rows (`fit_rows`) and has at most `features` words; both are
 parameters. Scoring reads every whole text and needs no shuffle. Null and empty texts have no features and get the
@@ -64,7 +64,7 @@ class Ordinal:
         return _sigmoid(z - self.thresholds)
 
 
-def fit_ordinal(ids: list[np.ndarray], d: int, y: np.ndarray, grades: int, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(ids: list[np.ndarray], d: int, y: np.ndarray, grades: int, steps: int = 400, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds by maximum likelihood with a small L2 penalty (Adam on the whole batch). ids: the
     features that each row has, of d."""
     n = len(ids)
@@ -110,24 +110,28 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, features: int
         return None
     df = rows.select("text", F.col("toxic").cast("int")).mapInArrow(words, "w string, toxic int").groupBy("w").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     odds = F.log(((F.col("bad") + 0.5) / n[1]) / ((F.col("good") + 0.5) / n[0]))
-    best = df.where(F.col("bad") + F.col("good") >= least).withColumn("odds", odds).orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("bad") + F.col("good"))), "w").limit(features).collect()
+    # likelihood-ratio statistic of the word against the labels: chance alone seldom gives 10
+    rate, n_word = n[1] / (n[0] + n[1]), F.col("bad") + F.col("good")
+    part = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n_word * share))).otherwise(0.0)
+    df = df.where(n_word >= least).withColumn("odds", odds).withColumn("g", 2 * (part("bad", rate) + part("good", 1 - rate)))
+    best = df.where("g >= 10").orderBy(F.desc("g"), "w").limit(features).collect()
     vocabulary, typical = [r["w"] for r in best], {r["w"] for r in best if r["odds"] > 2}
     number = {w: i for i, w in enumerate(vocabulary)}
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, share = [], []
+            ids, many = [], []
             for x in batch.column(0):
-                found = LETTERS.findall(x.as_py().lower())
-                share.append(sum(w in typical for w in found) / max(1, len(found)))
-                ids.append([number[w] for w in set(found) if w in number])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(share, pa.float64())], names=["toxic", "ids", "share"])
-
-    sample = rows.select("text", F.col("toxic").cast("int")).mapInArrow(sparse, "toxic int, ids array<int>, share double").toPandas()
-    toxic, share = sample["toxic"].to_numpy(), sample["share"].to_numpy()
-    y = np.where(toxic == 0, 0, np.where(share > np.median(share[toxic == 1]), 2, 1)).astype(np.int64)
+                found = bag(x.as_py())
+                many.append(sum(w in typical for w in found))
+                ids.append([number[w] for w in found if w in number])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(many, pa.int64())], names=["toxic", "ids", "many"])
+
+    sample = rows.select("text", F.col("toxic").cast("int")).mapInArrow(sparse, "toxic int, ids array<int>, many long").toPandas()
+    toxic, many = sample["toxic"].to_numpy(), sample["many"].to_numpy()
+    y = np.where(toxic == 0, 0, np.where(many > np.median(many[toxic == 1]), 2, 1)).astype(np.int64)
     ids = [np.sort(i) for i in sample["ids"]]
-    order = sorted(range(len(ids)), key=lambda i: (y[i], share[i], ids[i].tolist()))  # the same sums whatever order the rows came in
+    order = sorted(range(len(ids)), key=lambda i: (y[i], ids[i].tolist()))  # the same sums whatever order the rows came in
     weights, thresholds = fit_ordinal([ids[i] for i in order], len(vocabulary), y[order], 3)
     return Ordinal(vocabulary, np.where(np.abs(weights) < 0.05, 0, weights), thresholds)
 
