@@ -123,6 +123,7 @@ def mark(df: DataFrame, key: str = "doc_id", text: str = "text", block: int = 16
     scratch = Scratch(df.sparkSession, "exactdup")
     each = scratch.store(identities(df, scratch, key, text, block), "identities")
     groups = each.groupBy("level", "name").agg(F.max(F.struct(key, "_row")).alias("best"), F.count("*").alias("group_size"))
+    groups = scratch.store(groups, "groups")  # so that Spark may split a hot group's side of the join
     both = each.join(groups, ["level", "name"])
     return both.select(key, F.col(f"best.{key}").alias("keep_id"), "group_size", (F.col("_row") == F.col("best._row")).alias("kept"), F.col("sha").alias("text_sha256"))
 
