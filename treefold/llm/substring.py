@@ -8,9 +8,9 @@ equals). Equal windows have the same minimizer at the same place, so an index of
 windows with one minimizer form a region, posted as one row: (fp, body, key, first window, windows), where fp is the
 64-bit hash of the minimizer and body a 64-bit hash of all the region's words. That is about a row for 14 words.
 
-The index is a log of immutable runs, each sorted by fp. The documents come in batches; a batch's run is merge-joined
-with every older run on fp, matches are verified, and runs are compacted when `fan` of them are of one size, as in any
-log-structured store. Regions with equal body are equal as a whole. Regions that share only fp are opened: their windows
+The index is a log of immutable runs, each sorted by fp with one row a fingerprint. The documents come in batches; a
+batch's run is merge-joined with every older run on fp, matches are verified on their postings, and runs are compacted
+when `fan` of them are of one size, as in any log-structured store. Regions with equal body are equal as a whole. Regions that share only fp are opened: their windows
 are compared by 128-bit hashes, one copy of each different body only, so that a group of copies is compared once.
 
 Null texts have no words. Documents shorter than a window lose nothing. Repeated rows and repeated ids are separate
@@ -164,17 +164,18 @@ def post(df: DataFrame, key: str, text: str, window: int, gram: int) -> DataFram
 
 
 class Index:
-    """Sorted immutable runs, bucketed by fp: joins and compactions of runs need no shuffle."""
+    """Sorted immutable runs of (fp, n), bucketed by fp, with one row a fingerprint, so that one that occurs very often
+    is counted before it is shuffled and is one row of a bucket. Joins of runs need no shuffle. The postings stay beside
+    the index in the order in which they were made."""
 
     def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int, fan: int = 3):
         self.spark, self.scratch, self.buckets, self.fan = spark, scratch, buckets, fan
         self.runs: list[tuple[str, int]] = []
-        self.made = 0
+        self.made: list[DataFrame] = []
 
-    def write(self, postings: DataFrame, tier: int) -> str:
-        self.made += 1
+    def write(self, counts: DataFrame, tier: int) -> str:
         name = f"run_{uuid.uuid4().hex}"
-        postings.sortWithinPartitions("fp", "body").write.bucketBy(self.buckets, "fp").sortBy("fp", "body").option("path", self.scratch.path(name)).saveAsTable(name)
+        counts.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", self.scratch.path(name)).saveAsTable(name)
         self.runs.append((name, tier))
         return name
 
@@ -185,12 +186,13 @@ class Index:
 
     def add(self, postings: DataFrame) -> DataFrame:
         """Takes in a batch. Returns the fps that the batch shares with itself or with any older run."""
-        older = [n for n, _ in self.runs]
-        new = self.spark.table(self.write(postings.repartition(self.buckets, "fp"), 0))
-        shared = new.groupBy("fp").count().where("count >= 2").select("fp")
+        older, k = [n for n, _ in self.runs], len(self.made)
+        self.made.append(self.scratch.store(postings, f"postings{k}"))
+        new = self.spark.table(self.write(self.made[k].groupBy("fp").agg(F.count("*").alias("n")), 0))
+        shared = new.where("n >= 2").select("fp")
         for name in older:
-            shared = shared.unionByName(new.select("fp").join(self.spark.table(name).select("fp"), "fp", "left_semi").distinct())
-        shared = self.scratch.store(shared, f"shared{self.made}")
+            shared = shared.unionByName(new.select("fp").join(self.spark.table(name).select("fp"), "fp", "left_semi"))
+        shared = self.scratch.store(shared, f"shared{k}")
         free(self.spark)
         return shared
 
@@ -201,13 +203,22 @@ class Index:
             merged = self.spark.table(names[0])
             for n in names[1:]:
                 merged = merged.unionByName(self.spark.table(n))
-            self.write(merged, full[0] + 1)
+            self.write(merged.groupBy("fp").agg(F.sum("n").alias("n")), full[0] + 1)
             for n in names:
                 self.remove(n)
 
+    def postings(self) -> DataFrame:
+        """All postings taken in."""
+        out = self.made[0]
+        for x in self.made[1:]:
+            out = out.unionByName(x)
+        return out
+
     def close(self) -> None:
         for n, _ in list(self.runs):
             self.remove(n)
+        for k in range(len(self.made)):
+            self.scratch.drop(f"postings{k}", f"shared{k}")
 
 
 def _open(df: DataFrame, opened: DataFrame, key: str, text: str, window: int) -> DataFrame:
@@ -247,11 +258,8 @@ def repeated(df: DataFrame, scratch: Scratch, key: str, text: str, window: int =
         found = index.add(post(batch, key, text, window, gram))
         shared = found if shared is None else shared.unionByName(found)
         index.compact()
-    shared, hits = shared.distinct(), None
-    for name, _ in index.runs:
-        part = spark.table(name).join(shared, "fp", "left_semi")
-        hits = part if hits is None else hits.unionByName(part)
-    hits = scratch.store(hits, "hits")
+    # the postings' side may be split where one fingerprint has very many of them
+    hits = scratch.store(index.postings().join(shared.distinct(), "fp", "left_semi"), "hits")
     index.close()
     bodies = hits.groupBy("fp", "body").agg(F.count("*").alias("n"), F.min(F.struct(key, TAG, "first", "windows")).alias("s"))
     bodies = scratch.store(bodies, "bodies")
