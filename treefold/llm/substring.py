@@ -258,12 +258,13 @@ def repeated(df: DataFrame, scratch: Scratch, key: str, text: str, window: int =
         found = index.add(post(batch, key, text, window, gram))
         shared = found if shared is None else shared.unionByName(found)
         index.compact()
-    # the postings' side may be split where one fingerprint has very many of them
-    hits = scratch.store(index.postings().join(shared.distinct(), "fp", "left_semi"), "hits")
+    # stored, so that Spark may split the other side of the joins where one fingerprint has very many rows
+    shared = scratch.store(shared.distinct(), "shared")
+    hits = scratch.store(index.postings().join(shared, "fp", "left_semi"), "hits")
     index.close()
     bodies = hits.groupBy("fp", "body").agg(F.count("*").alias("n"), F.min(F.struct(key, TAG, "first", "windows")).alias("s"))
     bodies = scratch.store(bodies, "bodies")
-    several = bodies.groupBy("fp").count().where("count >= 2").select("fp")
+    several = scratch.store(bodies.groupBy("fp").count().where("count >= 2").select("fp"), "several")
     opened = bodies.join(several, "fp", "left_semi").select("fp", "body", "s.*")
     windows = scratch.store(_open(df, opened, key, text, window), "windows")
     free(spark)
@@ -273,7 +274,7 @@ def repeated(df: DataFrame, scratch: Scratch, key: str, text: str, window: int =
     whole = bodies.where("n >= 2").select("fp", "body", F.lit(None).cast("array<smallint>").alias("js"))
     gone = scratch.store(whole.unionByName(some.join(whole.select("fp", "body"), ["fp", "body"], "left_anti")), "gone")
     out = scratch.store(hits.join(gone, ["fp", "body"]).select(key, TAG, "first", "windows", "js"), "spans")
-    scratch.drop("hits", "bodies", "windows", "twice", "gone")
+    scratch.drop("shared", "hits", "several", "bodies", "windows", "twice", "gone")
     return out
 
 
