@@ -365,6 +365,28 @@ def test_marginals_are_those_of_all_labellings():
     assert np.allclose(linecrf.marginals(unary, table_), want)
 
 
+def test_chain_of_all_documents_is_each_of_them_alone():
+    rng, size = np.random.default_rng(6), (1, 7, 300, 2, 90)
+    z, fresh, table_ = rng.normal(size=sum(size)) * 3, np.zeros(sum(size), bool), rng.normal(size=(2, 2))
+    ends = np.cumsum(size)
+    fresh[ends - size] = True
+    last = np.roll(fresh, -1)
+    odds = linecrf.forward(z, fresh, table_) + linecrf.forward(z[::-1], last[::-1], table_.T)[::-1] - z
+    alone = [linecrf.marginals(np.stack((-x / 2, x / 2), axis=1), table_) for x in np.split(z, ends[:-1])]
+    assert np.allclose(1 / (1 + np.exp(-odds)), np.concatenate(alone))
+
+
+def test_quality_learns_from_all_lines(spark):
+    rng = random.Random(8)
+    clean = lambda n: [prose(rng, 8) for _ in range(n)]
+    junk = lambda n: ["$$ 99 ## 12 %% " * rng.randint(2, 4) for _ in range(n)]
+    data = [(i, "\n".join(clean(60) + (junk(60) if i % 2 else clean(60)))) for i in range(120)]  # all alike up to line 60
+    docs = table(spark, data)
+    labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(80)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["predicted"] for r in linecrf.score(docs, linecrf.fit(docs, labels)).collect()}
+    assert all(got[i] == (i + 1) % 2 for i in range(80, 120))
+
+
 # --- the pipeline
 
 

@@ -5,9 +5,9 @@ neighbouring labels. Forward-backward gives each line's chance of being good; th
 is the document's quality, mapped to a score by a logistic curve fitted on the same sample.
 
 Only documents are labelled, so every line of a labelled document is trained with its document's label. The model is
-fitted on a bounded sample (`fit_rows` documents, the first `fit_lines` lines of each). Scoring reads every whole text,
-needs no shuffle, and works through a document's lines in vectors. Null and empty texts are one empty line. Without
-labels of both kinds every score is 0.5. Repeated rows are scored each.
+fitted on all lines of a bounded sample of documents (`fit_rows`); the driver holds 13 numbers a line of it. Scoring reads
+every whole text, needs no shuffle, and works through a document's lines in vectors. Null and empty texts are one empty
+line. Without labels of both kinds every score is 0.5. Repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -54,10 +54,18 @@ def own_features(lines: list[bytes]) -> np.ndarray:
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """One row a line with the neighbours' features beside its own, and the lines' lengths."""
+    own, length = own_and_length(text)
+    return beside(own), length
+
+
+def own_and_length(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     lines = lines_of(text)
-    own = own_features(lines)
+    return own_features(lines), np.fromiter((len(x) + 1 for x in lines), np.float64, len(lines))
+
+
+def beside(own: np.ndarray) -> np.ndarray:
     edge = np.zeros((1, OWN))
-    return np.hstack((own, np.vstack((edge, own[:-1])), np.vstack((own[1:], edge)))), np.fromiter((len(x) + 1 for x in lines), np.float64, len(lines))
+    return np.hstack((own, np.vstack((edge, own[:-1])), np.vstack((own[1:], edge))))
 
 
 def marginals(unary: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -99,43 +107,70 @@ class Crf:
         return float(1 / (1 + np.exp(-np.clip(self.slope * np.log(m / (1 - m)) + self.shift, -40, 40))))
 
 
+def forward(z: np.ndarray, fresh: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Log odds of good at every line given the lines up to it, from the lines' own log odds z. A line that is fresh begins
+    a document. The lines are one chain, cut to about sqrt(n) pieces that are worked through side by side: first what each
+    piece makes of either label before it, then the odds between the pieces, then those within."""
+    n = len(z)
+    side = int(np.ceil(np.sqrt(n)))
+    many = -(-n // side)
+    own, live = np.zeros(many * side), np.zeros(many * side)
+    own[:n], live[:n] = z, ~fresh
+    own, live = own.reshape(many, side).T.copy(), live.reshape(many, side).T.copy()
+    (u, v), (s, t) = table.tolist()
+    bad, good = np.full((2, many), -np.inf), np.full((2, many), -np.inf)  # by the label before the piece
+    bad[0], good[1] = 0, 0
+    for x, k in zip(own, live):
+        bad, good = np.logaddexp(bad + u * k, good + s * k), np.logaddexp(bad + v * k, good + t * k) + x
+    start, before = np.zeros(many), 0.0
+    for i in range(many):
+        start[i] = before
+        before = np.logaddexp(good[0, i], before + good[1, i]) - np.logaddexp(bad[0, i], before + bad[1, i])
+    out, now = np.empty((side, many)), start
+    for i, (x, k) in enumerate(zip(own, live)):
+        out[i] = now = x + k * (np.logaddexp(v, now + t) - np.logaddexp(u, now + s))
+    return out.T.reshape(-1)[:n]
+
+
 def train(seqs: list[np.ndarray], y: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood by Adam; forward-backward runs over all sequences at once, padded to the longest."""
-    n, longest, d = len(seqs), max(map(len, seqs)), seqs[0].shape[1]
-    x, mask = np.zeros((n, longest, d)), np.zeros((n, longest), bool)
-    for i, s in enumerate(seqs):
-        x[i, : len(s)], mask[i, : len(s)] = s, True
+    """Maximum likelihood by Adam, from the own features of all lines of each document. Forward-backward runs over the
+    lines of all documents as one chain, without padding, in which a document's first line has no predecessor."""
+    own, size = np.concatenate(seqs), np.array([len(s) for s in seqs])
+    fresh, last = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    last[np.cumsum(size) - 1] = True
+    fresh[0], fresh[1:] = True, last[:-1]
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))  # both labels weigh the same
-    w, table = np.zeros(d), np.zeros((2, 2))
-    ms, vs = [np.zeros(d), np.zeros((2, 2))], [np.zeros(d), np.zeros((2, 2))]
-    per_line = weight / mask.sum(1)
+    per_line, label = np.repeat(weight / size, size), np.repeat(y, size)
+    inner = np.flatnonzero(~fresh)  # lines with a predecessor
+
+    def earlier(x: np.ndarray) -> np.ndarray:
+        return np.where(fresh, 0, np.roll(x, 1))
+
+    def later(x: np.ndarray) -> np.ndarray:
+        return np.where(last, 0, np.roll(x, -1))
+
+    want = np.zeros((2, 2))
+    for k in (0, 1):
+        want[k, k] = per_line[inner][label[inner] == k].sum()
+    w, table = np.zeros(3 * OWN), np.zeros((2, 2))
+    ms, vs = [np.zeros(3 * OWN), np.zeros((2, 2))], [np.zeros(3 * OWN), np.zeros((2, 2))]
     for t in range(1, steps + 1):
-        z = x @ w
-        u = np.stack((-z / 2, z / 2), axis=2)
-        f, b = np.zeros_like(u), np.zeros_like(u)
-        f[:, 0] = u[:, 0]
-        for i in range(1, longest):
-            step = np.logaddexp.reduce(f[:, i - 1, :, None] + table, axis=1) + u[:, i]
-            f[:, i] = np.where(mask[:, i, None], step, f[:, i - 1])
-        for i in range(longest - 2, -1, -1):
-            step = np.logaddexp.reduce(table + (u[:, i + 1] + b[:, i + 1])[:, None, :], axis=2)
-            b[:, i] = np.where(mask[:, i + 1, None], step, 0.0)
-        total = np.logaddexp.reduce(f[:, -1], axis=1)
-        good = np.exp(f[:, :, 1] + b[:, :, 1] - total[:, None])
-        gap = np.where(mask, y[:, None] - good, 0) * per_line[:, None]
-        grad_w = np.einsum("nl,nld->d", gap, x) - decay * w
-        pair = np.exp(f[:, :-1, :, None] + table + (u[:, 1:] + b[:, 1:])[:, :, None, :] - total[:, None, None, None])
-        want = np.zeros((n, 2, 2))
-        want[np.arange(n), y, y] = 1
-        diff = np.where(mask[:, 1:, None, None], want[:, None] - pair, 0) * per_line[:, None, None, None]
-        grad_t = diff.sum((0, 1)) - decay * table
+        z = own @ w[:OWN] + earlier(own @ w[OWN : 2 * OWN]) + later(own @ w[2 * OWN :])
+        f = forward(z, fresh, table)
+        b = forward(z[::-1], last[::-1], table.T)[::-1]  # with the line's own odds, as f has them
+        gap = (label - 1 / (1 + np.exp(-np.clip(f + b - z, -500, 500)))) * per_line
+        grad_w = np.concatenate((gap @ own, later(gap) @ own, earlier(gap) @ own)) - decay * w
+        p, q = f[inner - 1], b[inner]
+        pair = np.stack((np.full(len(p), table[0, 0]), table[0, 1] + q, table[1, 0] + p, table[1, 1] + p + q))
+        pair = np.exp(pair - np.logaddexp.reduce(pair, axis=0))
+        grad_t = want - (pair @ per_line[inner]).reshape(2, 2) - decay * table
         for k, (p, g) in enumerate(((w, grad_w), (table, grad_t))):
             ms[k], vs[k] = 0.9 * ms[k] + 0.1 * g, 0.999 * vs[k] + 0.001 * g**2
             p += rate * (ms[k] / (1 - 0.9**t)) / (np.sqrt(vs[k] / (1 - 0.999**t)) + 1e-8)
     return w, table
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2000, fit_lines: int = 48) -> Crf | None:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2000) -> Crf | None:
     """docs (doc_id, text) and labels (doc_id, quality) to a model; None without labels of both kinds."""
     lab = only(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     parts = [hash_sample(lab.where(F.col("quality") == q), "doc_id", fit_rows // 2) for q in (0, 1)]
@@ -143,18 +178,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2000, fit_lines: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [features(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([x[:fit_lines].ravel() for x, _ in got], pa.list_(pa.float64())), pa.array([n[:fit_lines] for _, n in got], pa.list_(pa.float64()))], names=["doc_id", "quality", "x", "n"]
-            )
+            got = [own_and_length(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.ravel() for x, _ in got], pa.list_(pa.float64())), pa.array([n for _, n in got], pa.list_(pa.float64()))], names=["doc_id", "quality", "x", "n"])
 
     sample = rows.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, x array<double>, n array<double>").toPandas().sort_values("doc_id", kind="stable")
     y = sample["quality"].to_numpy()
     if set(y) != {0, 1}:
         return None
-    seqs = [np.asarray(x).reshape(-1, 3 * OWN) for x in sample["x"]]
+    seqs = [np.asarray(x).reshape(-1, OWN) for x in sample["x"]]
     crf = Crf(*train(seqs, y))
-    mean = np.array([crf.mean(x, np.asarray(n)) for x, n in zip(seqs, sample["n"])]).clip(1e-6, 1 - 1e-6)
+    mean = np.array([crf.mean(beside(x), np.asarray(n)) for x, n in zip(seqs, sample["n"])]).clip(1e-6, 1 - 1e-6)
     a, c, z = 1.0, 0.0, np.log(mean / (1 - mean))
     for _ in range(300):  # logistic curve by gradient steps
         p = 1 / (1 + np.exp(-np.clip(a * z + c, -40, 40)))
