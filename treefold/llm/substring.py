@@ -8,10 +8,14 @@ equals). Equal windows have the same minimizer at the same place, so an index of
 windows with one minimizer form a region, posted as one row: (fp, body, key, first window, windows), where fp is the
 64-bit hash of the minimizer and body a 64-bit hash of all the region's words. That is about a row for 14 words.
 
-The index is a log of immutable runs, each sorted by fp with one row a fingerprint. The documents come in batches; a
-batch's run is merge-joined with every older run on fp, matches are verified on their postings, and runs are compacted
-when `fan` of them are of one size, as in any log-structured store. Regions with equal body are equal as a whole. Regions that share only fp are opened: their windows
-are compared by 128-bit hashes, one copy of each different body only, so that a group of copies is compared once.
+The index is a log of immutable runs, each sorted by fp with one row a fingerprint. The documents of one call come in
+`batches` batches by hash; a batch's run is merge-joined with every older run on fp, and runs are merged when `fan` of
+them are of one size. Matches are verified once, after the last batch, on the postings kept beside the index. Runs hold
+(fp, n), no postings, and the index is closed at the end of the call: a new batch can't be deduplicated against earlier
+calls, and with as many batches as `fan` the merged run is never read.
+
+Regions with equal body are equal as a whole. Regions that share only fp are opened: their windows are compared by
+128-bit hashes, one copy of each different body only, so that a group of copies is compared once.
 
 Null texts have no words. Documents shorter than a window lose nothing. Repeated rows and repeated ids are separate
 documents. An empty table gives no rows. Extra columns are ignored.
