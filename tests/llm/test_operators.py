@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from treefold.llm import ann, exactdup, langid, linecrf, neardup, packing, queries, revisit, substring, toxicity, wordbpe
+from treefold.llm.common import shares
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sid long, _t int, _k string, fp long, row long"
 WORDS = [a + b + c for a in ("ba", "de", "ki", "lo", "mu") for b in ("ra", "te", "si", "no", "pu") for c in ("", "n", "s", "th")]
@@ -340,6 +341,17 @@ def test_language(spark):
     assert langid.fit(docs.where("false")) is None and langid.predict(odd, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_rare_language(spark):
+    rng, other = random.Random(5), ("xoz", "wyv", "zuxy", "quoj", "vywo", "jyx")
+    data = [(i, prose(rng, 30), "aa") for i in range(3000)] + [(5000 + i, " ".join(rng.choice(other) for _ in range(30)), "zz") for i in range(3)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    for how in ({"fit_rows": 100}, {"entries": 60}, {"fit_rows": 100, "entries": 60}):
+        model = langid.fit(docs, **how)
+        assert model.languages == ["aa", "zz"] and {w for w, c in model.tables[0].items() if c[1] > c[0]} & set(other), how
+        assert [r["lang_pred"] for r in langid.predict(docs.where("doc_id >= 5000"), model).collect()] == ["zz"] * 3
+    assert shares({"a": 900, "b": 3, "c": 500}, 100) == {"a": 49, "b": 3, "c": 48} and shares({"a": 9, "b": 90}, 4, 5) == {"a": 5, "b": 5}
+
+
 def test_quality(spark):
     sf = "/root/testdata/sf0.01"
     lab = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

@@ -67,6 +67,16 @@ def hash_sample(df: DataFrame, key: str, rows: int, seed: int = 11) -> DataFrame
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
 
 
+def shares(sizes: dict, total: int, least: int = 1) -> dict:
+    """What each group gets of a total: equal parts, of which small groups leave to the others what they can't fill, and
+    `least` (or all it has) where an equal part is less."""
+    out, left = {}, total
+    for k, x in enumerate(sorted(sizes, key=lambda g: (sizes[g], g))):
+        out[x] = min(sizes[x], max(least, left // (len(sizes) - k)))
+        left -= out[x]
+    return out
+
+
 _held: dict = {}
 
 

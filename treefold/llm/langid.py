@@ -5,7 +5,9 @@ place the longest known one, from 4 characters down to 1, each step down at a di
 its words, and the result is the likeliest language.
 
 Frequencies are learned from a bounded sample of labelled rows (`fit_rows`); the model holds at most `entries` words and
-n-grams. Prediction reads every whole text and nothing else, and needs no shuffle. Null texts and texts without a letter
+n-grams. Both are shared out among the languages, so that a rare one is learned beside one that has nearly all rows: each
+gets an equal part, and what a small one can't fill goes to the others. A language has 32 rows in the sample, or all it
+has, even if that makes more than `fit_rows` together. Prediction reads every whole text and nothing else, and needs no shuffle. Null texts and texts without a letter
 are `und` with score 0; so is everything when there is nothing to learn from. Repeated rows are predicted each.
 """
 
@@ -21,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treefold.llm.common import hash_sample, only
+from treefold.llm.common import Scratch, only, shares
 from treefold.llm.wordbpe import Cache
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -57,7 +59,12 @@ class Model:
 
 def fit(docs: DataFrame, fit_rows: int = 8000, entries: int = 200_000) -> Model | None:
     """docs (doc_id, text, lang) to a model."""
-    rows = hash_sample(only(docs, "doc_id", "text", "lang").where("lang is not null and text is not null"), "doc_id", fit_rows)
+    spark, rows = docs.sparkSession, only(docs, "doc_id", "text", "lang").where("lang is not null and text is not null")
+    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not n:
+        return None
+    part = spark.createDataFrame([(x, int(k / n[x] * (1 << 30))) for x, k in shares(n, fit_rows, 32).items()], "lang string, part long")
+    rows = rows.join(F.broadcast(part), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < F.col("part"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -73,7 +80,15 @@ def fit(docs: DataFrame, fit_rows: int = 8000, entries: int = 200_000) -> Model
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.int32()), pa.array([k[2] for k in out], pa.string()), pa.array(out.values(), pa.int64())], names=["lang", "n", "g", "c"])
 
     counts = rows.select("text", "lang").mapInArrow(count, "lang string, n int, g string, c long").groupBy("lang", "n", "g").agg(F.sum("c").alias("c"))
-    best = counts.where("c >= 2 or n < 3").orderBy(F.desc("c"), "lang", "n", "g").limit(entries).collect()
+    scratch = Scratch(spark, "langid")
+    counts = scratch.store(counts.where("c >= 2 or n < 3"), "counts")
+    found = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
+    room = shares(found, entries)
+    best = counts.where(F.col("lang").isin([x for x in found if room[x] == found[x]])).collect()
+    for x in found:
+        if room[x] < found[x]:
+            best += counts.where(F.col("lang") == x).orderBy(F.desc("c"), "n", "g").limit(room[x]).collect()
+    scratch.drop()
     if not best:
         return None
     languages = sorted({r["lang"] for r in best})
