@@ -81,6 +81,18 @@ def test_ordinal_gradient():
     assert np.abs(w - true).max() < 0.4 and np.abs(cut - [0.5, 2]).max() < 0.3
 
 
+def test_toxicity_at_the_real_rate(spark):
+    rng = random.Random(12)
+    chance = {0: 0.3, 1: 0.9}  # of the word, by label; one row in ten is toxic
+    data = [(i, prose(rng, 12) + (" vile" if rng.random() < chance[int(i % 10 == 0)] else "")) for i in range(3000)]
+    docs, labels = table(spark, data), spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in data], "doc_id long, toxic int")
+    seen = table(spark, [(1, "vile")])
+    want = np.mean([i % 10 == 0 for i, t in data if "vile" in t])
+    for rows in (8000, 600):
+        model = toxicity.fit(docs, labels, fit_rows=rows)
+        assert not toxicity.severity(seen, model).first()["toxic"] and abs(toxicity.Scorer(model).above("vile")[0] - want) < 0.1
+
+
 # --- 2 and 8
 
 
@@ -399,6 +411,17 @@ def test_quality_learns_from_all_lines(spark):
     assert all(got[i] == (i + 1) % 2 for i in range(80, 120))
 
 
+def test_quality_at_the_real_rate(spark):
+    rng = random.Random(13)
+    chance = {0: 0.9, 1: 0.3}  # of a junk text, by label; one document in ten is bad
+    data = [(i, "## 12 %% 99 $$" if rng.random() < chance[int(i % 10 > 0)] else prose(rng, 8)) for i in range(2000)]
+    docs, labels = table(spark, data), spark.createDataFrame([(i, int(i % 10 > 0)) for i, _ in data], "doc_id long, quality int")
+    want = np.mean([i % 10 > 0 for i, t in data if "#" in t])
+    for rows in (4000, 400):
+        got = linecrf.fit(docs, labels, fit_rows=rows).score("## 12 %% 99 $$")
+        assert got >= 0.5 and abs(got - want) < 0.12
+
+
 # --- the pipeline
 
 

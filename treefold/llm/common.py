@@ -61,10 +61,16 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
 
 def hash_sample(df: DataFrame, key: str, rows: int, seed: int = 11) -> DataFrame:
     """About `rows` rows at most, chosen by a hash of the key: the same ones whatever the partitioning. For fitting."""
+    return weighted_sample(df, key, rows, seed)[0]
+
+
+def weighted_sample(df: DataFrame, key: str, rows: int, seed: int = 11) -> tuple[DataFrame, float]:
+    """hash_sample() and how many rows of df each of its rows stands for."""
     n = df.count()
     if n <= rows:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+        return df, 1.0
+    part = int(rows / n * (1 << 30))
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < part), (1 << 30) / part
 
 
 def shares(sizes: dict, total: int, least: int = 1) -> dict:

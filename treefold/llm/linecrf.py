@@ -2,7 +2,8 @@
 
 Every line is good or bad. A line's features are its own, its predecessor's and its successor's; a 2 x 2 table scores
 neighbouring labels. Forward-backward gives each line's chance of being good; their mean, weighted by the lines' lengths,
-is the document's quality, mapped to a score by a logistic curve fitted on the same sample.
+is the document's quality, mapped to a score by a logistic curve fitted on the same sample, in which both labels count
+as often as among all labelled documents.
 
 Only documents are labelled, so every line of a labelled document is trained with its document's label. The model is
 fitted on all lines of a bounded sample of documents (`fit_rows`); the driver holds 13 numbers a line of it. Scoring reads
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treefold.llm.common import hash_sample, only
+from treefold.llm.common import only, weighted_sample
 
 #: Classes of bytes: letter below 128, capital, digit, space, sentence mark, other mark, byte of a longer character.
 CLASSES = np.array([3 if c in b" \t\r\x0b\x0c" else 2 if 48 <= c < 58 else 1 if 65 <= c < 91 else 0 if 97 <= c < 123 else 6 if c > 127 else 4 if c in b".,;:'?-" else 5 for c in range(256)], np.uint8)
@@ -173,7 +174,7 @@ def train(seqs: list[np.ndarray], y: np.ndarray, steps: int = 200, rate: float =
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2000) -> Crf | None:
     """docs (doc_id, text) and labels (doc_id, quality) to a model; None without labels of both kinds."""
     lab = only(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    parts = [hash_sample(lab.where(F.col("quality") == q), "doc_id", fit_rows // 2) for q in (0, 1)]
+    parts, stands_for = zip(*(weighted_sample(lab.where(F.col("quality") == q), "doc_id", fit_rows // 2) for q in (0, 1)))
     rows = only(docs, "doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")  # fit_rows rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2000) -> Crf | None:
     crf = Crf(*train(seqs, y))
     mean = np.array([crf.mean(beside(x), np.asarray(n)) for x, n in zip(seqs, sample["n"])]).clip(1e-6, 1 - 1e-6)
     a, c, z = 1.0, 0.0, np.log(mean / (1 - mean))
+    weight = np.array(stands_for)[y]
+    weight = weight / weight.mean()
     for _ in range(300):  # logistic curve by gradient steps
-        p = 1 / (1 + np.exp(-np.clip(a * z + c, -40, 40)))
-        a, c = a + 0.05 * ((y - p) * z).mean(), c + 0.5 * (y - p).mean()
+        gap = weight * (y - 1 / (1 + np.exp(-np.clip(a * z + c, -40, 40))))
+        a, c = a + 0.05 * (gap * z).mean(), c + 0.5 * gap.mean()
     crf.slope, crf.shift = max(a, 1e-3), c
     return crf
 

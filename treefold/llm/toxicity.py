@@ -7,7 +7,8 @@ Labels only say toxic or not, so the grades are built from them: 0 for label 0;
 distinct words typical of toxic labels than the median get grade 2, the others 1.
 
 The model is fitted on a bounded sample of labelled rows (`fit_rows`) and has at most `features` words; both are
-parameters. Scoring reads every whole text and needs no shuffle. Null and empty texts have no features and get the
+parameters. Half the sample at most is of one label; a row weighs as many labelled rows as it stands for, so that the
+thresholds are those of all labelled rows. Scoring reads every whole text and needs no shuffle. Null and empty texts have no features and get the
 severity of the thresholds alone. Without labels of both kinds everything has severity 0. Repeated rows are scored
 each. Extra columns are ignored by severity(), and kept by keep().
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treefold.llm.common import hash_sample, let_go, only
+from treefold.llm.common import let_go, only, weighted_sample
 from treefold.llm.wordbpe import Cache
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -64,12 +65,13 @@ class Ordinal:
         return _sigmoid(z - self.thresholds)
 
 
-def fit_ordinal(ids: list[np.ndarray], d: int, y: np.ndarray, grades: int, steps: int = 400, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(ids: list[np.ndarray], d: int, y: np.ndarray, grades: int, steps: int = 400, rate: float = 0.1, decay: float = 1e-5, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds by maximum likelihood with a small L2 penalty (Adam on the whole batch). ids: the
-    features that each row has, of d."""
+    features that each row has, of d. weight: how many rows each row stands for, 1 by default."""
     n = len(ids)
     row, column = np.repeat(np.arange(n), [len(i) for i in ids]), np.concatenate([np.empty(0, np.int64), *ids]).astype(np.int64)
-    share = np.array([(y > k).mean() for k in range(grades - 1)]).clip(1e-3, 1 - 1e-3)
+    weight = np.ones(n) if weight is None else weight / weight.mean()
+    share = np.array([(weight * (y > k)).mean() for k in range(grades - 1)]).clip(1e-3, 1 - 1e-3)
     base = np.log((1 - share) / share)
     p = np.concatenate((np.zeros(d), [base[0]], np.log(np.maximum(np.diff(base), 0.1))))
     m, v = np.zeros_like(p), np.zeros_like(p)
@@ -80,7 +82,7 @@ def fit_ordinal(ids: list[np.ndarray], d: int, y: np.ndarray, grades: int, steps
         hi, lo = _sigmoid(cut[y + 1] - z), _sigmoid(cut[y] - z)
         hi, lo = np.where(y == grades - 1, 1.0, hi), np.where(y == 0, 0.0, lo)
         chance = np.maximum(hi - lo, 1e-9)
-        dhi, dlo = hi * (1 - hi) / chance, lo * (1 - lo) / chance
+        dhi, dlo = weight * hi * (1 - hi) / chance, weight * lo * (1 - lo) / chance
         slope = np.zeros(grades - 1)  # of the likelihood by each threshold
         np.add.at(slope, y[y < grades - 1], dhi[y < grades - 1])
         np.add.at(slope, y[y > 0] - 1, -dlo[y > 0])
@@ -93,7 +95,7 @@ def fit_ordinal(ids: list[np.ndarray], d: int, y: np.ndarray, grades: int, steps
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, features: int = 3000, least: int = 3) -> Ordinal | None:
     """docs (doc_id, text) and labels (doc_id, toxic) to a model; None without labels of both kinds."""
     lab = only(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    parts = [hash_sample(lab.where(F.col("toxic") == t), "doc_id", fit_rows // 2) for t in (0, 1)]
+    parts, stands_for = zip(*(weighted_sample(lab.where(F.col("toxic") == t), "doc_id", fit_rows // 2) for t in (0, 1)))
     rows = only(docs, "doc_id", "text").where("text is not null").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")  # fit_rows rows at most
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, features: int
     y = np.where(toxic == 0, 0, np.where(many > np.median(many[toxic == 1]), 2, 1)).astype(np.int64)
     ids = [np.sort(i) for i in sample["ids"]]
     order = sorted(range(len(ids)), key=lambda i: (y[i], ids[i].tolist()))  # the same sums whatever order the rows came in
-    weights, thresholds = fit_ordinal([ids[i] for i in order], len(vocabulary), y[order], 3)
+    weights, thresholds = fit_ordinal([ids[i] for i in order], len(vocabulary), y[order], 3, weight=np.where(y[order] > 0, stands_for[1], stands_for[0]))
     return Ordinal(vocabulary, np.where(np.abs(weights) < 0.05, 0, weights), thresholds)
 
 
