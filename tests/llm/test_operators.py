@@ -257,6 +257,15 @@ def test_near_dedup(spark, texts):
     assert neardup.mark(docs.where("false")).count() == 0 and neardup.mark(docs.where("doc_id < 4")).count() == 3
 
 
+def test_near_dedup_repeated_keys(spark):
+    rng = random.Random(21)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (4, ""), (4, ""), (5, d), (5, d + " more")]
+    got = Counter((r["doc_id"], r["text"]) for r in neardup.dedup(table(spark, rows)).collect())
+    last = [t for i, t in got if i == 5]
+    assert len(last) == 1 and got == Counter([(1, a), (2, b), (3, c), (4, ""), (4, ""), (5, last[0])])
+
+
 def test_blocks_find_what_pairs_find():
     rng = np.random.default_rng(1)
     found = [np.unique(rng.integers(0, 60, 50).astype(np.uint64)) for _ in range(40)]

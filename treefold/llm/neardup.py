@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treefold.llm.common import Scratch, free, only
-from treefold.llm.substring import M1, M2, M3, TAG, mix, rolling, tagged, word_hashes, words_of
+from treefold.llm.substring import M1, M2, M3, TAG, _by_row, mix, rolling, tagged, word_hashes, words_of
 
 STEP = 1024
 
@@ -219,29 +219,39 @@ def linked_pairs(found: list[np.ndarray], left: np.ndarray, right: np.ndarray, p
             yield left[x], right[y]
 
 
-def mark(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, coordinates: int = 64, matches: int = 34) -> DataFrame:
-    """One row a document: the key, n_shingles, component_id (the least key reachable), kept (whether that is its own)."""
+def _marked(df: DataFrame, key: str, text: str, size: int = 5, percent: int = 80, coordinates: int = 64, matches: int = 34) -> DataFrame:
+    """One row a document: the key, the tag, n, best (the key and tag that stand for its component)."""
     docs, scratch = tagged(only(df, key, text), key, text), Scratch(df.sparkSession, "neardup")
     each = scratch.store(sets(docs, key, text, size, coordinates), "sets")
     nodes = each.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct(key, TAG)).alias("rep"), F.first("keys").alias("keys"))
     nodes = scratch.store(nodes.withColumn("sid", F.monotonically_increasing_id()), "nodes")
     each = each.drop("keys")
     comp = link(nodes, docs, scratch, key, text, size, matches, percent)
-    named = nodes.select("sid", "s1", "s2", "n", F.col(f"rep.{key}").alias("least"))
+    named = nodes.select("sid", "s1", "s2", "n", F.col("rep").alias("best"))
     if comp is not None:
         grouped = named.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        low = grouped.where("comp is not null").groupBy("comp").agg(F.min("least").alias("component_id"))
-        named = grouped.join(low, "comp")
-    else:
-        named = named.withColumn("component_id", F.col("least"))
-    named = scratch.store(named.select("s1", "s2", "n", "component_id"), "named")
-    got = each.where("n > 0").join(named, ["s1", "s2", "n"]).select(key, "n", "component_id")
-    got = got.unionByName(each.where("n = 0").select(key, "n", F.col(key).alias("component_id")))
+        least = F.coalesce(F.min(F.when(F.col(f"best.{key}").isNotNull(), F.col("best"))), F.min("best"))  # a null key only if there is no other
+        named = grouped.drop("best").join(grouped.where("comp is not null").groupBy("comp").agg(least.alias("best")), "comp")
+    named = scratch.store(named.select("s1", "s2", "n", "best"), "named")
+    got = each.where("n > 0").join(named, ["s1", "s2", "n"]).select(key, TAG, "n", "best")
+    return got.unionByName(each.where("n = 0").select(key, TAG, "n", F.struct(key, TAG).alias("best")))
+
+
+def mark(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row a document: the key, n_shingles, component_id (the least key reachable), kept (whether that is its own)."""
+    got = _marked(df, key, text, **how).withColumn("component_id", F.col(f"best.{key}"))
     return got.select(key, F.col("n").alias("n_shingles"), "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows that stay, with all their columns: of each component those with its least key."""
+    """The rows that stay, with all their columns: of each component one row, of its least key. Texts without words all stay."""
     scratch = Scratch(df.sparkSession, "neardup-kept")
-    kept = scratch.store(mark(df, key, text, **how).where("kept").select(F.col(key).alias("_treefold_k")).distinct(), "kept")
-    return df.join(kept, F.col(key).eqNullSafe(F.col("_treefold_k")), "left_semi")
+    own = F.col(key).eqNullSafe(F.col(f"best.{key}")) & (F.col(TAG) == F.col(f"best.{TAG}"))
+    kept = _marked(df, key, text, **how).where(own).groupBy(key, TAG).agg(F.count("*").alias("_treefold_c"), F.max("n").alias("_treefold_n"))
+    kept = scratch.store(kept, "kept")
+    rows, often = tagged(df, key, text), kept.where("_treefold_c > 1 and _treefold_n > 0").select(key, TAG)
+    stay = _by_row(rows, kept.select(key, TAG), key, "left_semi")
+    if not often.limit(1).count():
+        return stay.drop(TAG)
+    once = _by_row(stay, often, key, "left_semi").dropDuplicates([key, text])  # equal rows
+    return _by_row(stay, often, key, "left_anti").unionByName(once).drop(TAG)
