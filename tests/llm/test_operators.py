@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from treefold.llm import ann, exactdup, langid, linecrf, neardup, packing, queries, revisit, substring, toxicity, wordbpe
-from treefold.llm.common import shares
+from treefold.llm.common import Scratch, shares
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sid long, _t int, _k string, fp long, row long"
 WORDS = [a + b + c for a in ("ba", "de", "ki", "lo", "mu") for b in ("ra", "te", "si", "no", "pu") for c in ("", "n", "s", "th")]
@@ -273,6 +273,54 @@ def test_blocks_find_what_pairs_find():
     assert pairs and set(neardup.linked_pairs(found, np.arange(20), np.arange(20, 40), 50, width=7)) == pairs
 
 
+def test_collisions_are_counted_by_coordinate():
+    rng = np.random.default_rng(3)
+    sig, n, c = rng.integers(0, 3, (60, 64)), rng.integers(90, 130, 60), rng.integers(0, 9, 60)
+    want = {(a, b) for a in range(25) for b in range(60) if (sig[a] == sig[b]).sum() >= 24 and c[a] != c[b] and 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b])}
+    assert want and set(neardup.colliding(sig, n, c, np.arange(25), np.arange(60), 24, 80)) == want
+
+
+@pytest.mark.parametrize("rows", [2, 5, 400])
+def test_any_two_members_of_different_components_meet(spark, rows):
+    rng = random.Random(rows)
+    data = [(g, 100 * g + s, 10, rng.choice((1, 1, 1, s))) for g in range(3) for s in range(12)]
+    got = neardup.dealt(spark.createDataFrame(data, "g long, sid long, n long, c long"), "g", rows, 60 if rows == 5 else None).collect()
+    met, blocks = set(), {}
+    for r in got:
+        blocks.setdefault((r["g"], r["i"], r["j"]), ([], []))[r["asks"]].append((r["sid"], r["c"]))
+    for theirs, asks in blocks.values():
+        met |= {frozenset((a, b)) for a, x in asks for b, y in theirs if x != y}
+    assert met == {frozenset((a[1], b[1])) for a in data for b in data if a[0] == b[0] and a[3] != b[3]}
+
+
+def test_components(spark, tmp_path):
+    rng = random.Random(17)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(50)]
+    top = {x: x for e in edges for x in e}
+    for _ in edges:
+        for a, b in edges:
+            top[a] = top[b] = min(top[a], top[b])
+    got = neardup.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "x").collect()
+    assert {r["node"]: r["comp"] for r in got} == {x: t for x, t in top.items() if any(x in e and e[0] != e[1] for e in edges)} and len(got) == len({r["node"] for r in got})
+    assert neardup.components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test"), "y").count() == 0
+
+
+def test_families_that_hardly_differ(spark):
+    """Links that are found only when members of a list are compared with each other, not with its pivot."""
+    rng = random.Random(31)
+    texts = []
+    for family in range(4):
+        base = prose(rng, 150).split()
+        for k in range(25):
+            words = list(base)
+            for at in rng.sample(range(150), 4 + k % 6):
+                words[at] = "edit%d" % rng.randrange(10**6)
+            texts.append((family * 100 + k, " ".join(words)))
+    got = neardup.mark(table(spark, texts), size=4).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_links(texts, 4, 80)
+    assert len({r["component_id"] for r in got}) > 8
+
+
 # --- 4
 
 

@@ -8,12 +8,14 @@ Prefix and skip merging: postings that one set alone holds are skipped. A set wi
 has no partner and is skipped. Any pair with enough collisions shares one of the (shared - matches + 1) rarest postings
 of either set, so only these prefixes are merged, rarest first; what many documents share drops out.
 
-No pairs within a group of copies are expanded. Equal sets are one node. In each posting list all members meet one
-pivot first, and confirmed links are contracted to components. Lists whose members are in one component are done. The
-others are joined to groups, and the members of a group that are in different components are compared exactly, block by
-block; no pairs are emitted but those that join components. Every link lies within one of the resulting components.
+No pairs within a group of copies are expanded. Equal sets are one node (equal by two 64-bit sums over the shingles' hashes
+and by size). In each posting list all members meet one pivot first, and confirmed links are contracted to components.
+Lists whose members are in one component are done. In the others collisions are counted for members of different
+components, on signatures, block by block; the pairs above the threshold are kept as a spanning forest, whose trees are
+the groups that are then compared exactly, also block by block. No pairs are emitted but those that join components or
+groups. Every link lies within one of the resulting components.
 
-With 64 coordinates and 34 matches a pair of similarity 0.8 is missed with probability 1e-7.
+With 64 coordinates and 34 matches a pair of similarity 0.8 is missed with probability 3.2e-7.
 
 Words are split at ASCII white space after lower-casing A-Z. A text with fewer words than a shingle is one shingle;
 without words it is empty and linked with nothing. Null texts count as empty. Rows that share a key are separate
@@ -25,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,26 +61,25 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sets(df: DataFrame, key: str, text: str, size: int, coordinates: int) -> DataFrame:
-    """One row a document: the key, the tag, n, s1, s2 (identity of the set), keys (coordinate and value in one number)."""
+    """One row a document: the key, the tag, n, s1, s2 (identity of the set), sig (a 32-bit value a coordinate)."""
     key_type = df.schema[key].dataType.simpleString()
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = multipliers(coordinates)
-        place = np.arange(coordinates, dtype=np.uint64) << np.uint64(32)
         for batch in them:
-            n, s1, s2, keys = [], [], [], []
+            n, s1, s2, sig = [], [], [], []
             for x in batch.column(2):
                 s = shingles(x.as_py(), size)
                 n.append(len(s))
                 s1.append(int(mix(s + M2).sum(dtype=np.uint64)) - (1 << 63))
                 s2.append(int(mix(s ^ M3).sum(dtype=np.uint64)) - (1 << 63))
-                keys.append((signature(s, a, b) + place).view(np.int64) if len(s) else np.empty(0, np.int64))
+                sig.append(signature(s, a, b).astype(np.uint32).view(np.int32) if len(s) else np.empty(0, np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=[key, TAG, "n", "s1", "s2", "keys"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sig, pa.list_(pa.int32()))],
+                names=[key, TAG, "n", "s1", "s2", "sig"],
             )
 
-    return df.select(key, TAG, text).mapInArrow(run, f"`{key}` {key_type}, {TAG} int, n long, s1 long, s2 long, keys array<long>")
+    return df.select(key, TAG, text).mapInArrow(run, f"`{key}` {key_type}, {TAG} int, n long, s1 long, s2 long, sig array<int>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -103,61 +105,138 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, comp (the least node reachable) for all nodes of the edges (a, b), by alternating large and small stars.
 
-    Stars are taken with aggregates and joins, so a node with many neighbours is never gathered in one place.
+    Stars are taken with aggregates and joins, and the aggregated side of each join is stored, so that Spark can split the
+    rows of a node with many neighbours. An unchanged count and hash of all edges end it.
     """
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
     now = scratch.store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-e0")
-    step = 0
-    while True:
+    before, step = state(now), 0
+    while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        low = scratch.store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), f"{name}-m{step}")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # neighbours above go to the least
-        large = scratch.store(large.where("u <> v").distinct(), f"{name}-l{step}")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        small = scratch.store(small.where("u <> v").distinct(), f"{name}-e{step + 1}")
-        same = small.exceptAll(now).limit(1).count() == 0 and now.exceptAll(small).limit(1).count() == 0
-        scratch.drop(f"{name}-l{step}", f"{name}-e{step}")
-        now, step = small, step + 1
-        if same:
+        large = scratch.store(large.distinct(), f"{name}-l{step}")
+        least = scratch.store(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-s{step}")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = scratch.store(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-e{step + 1}")
+        scratch.drop(f"{name}-m{step}", f"{name}-l{step}", f"{name}-s{step}", f"{name}-e{step}")
+        now, step, old, before = small, step + 1, before, state(small)
+        if before == old:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def link(nodes: DataFrame, docs: DataFrame, scratch: Scratch, key: str, text: str, size: int, matches: int, percent: int) -> DataFrame | None:
-    """nodes (sid, rep, n, keys) to sid, comp of those that have links; None if there are none."""
-    posts = nodes.select("sid", "n", F.explode("keys").alias("k"))
+def link(nodes: DataFrame, docs: DataFrame, scratch: Scratch, key: str, text: str, size: int, matches: int, percent: int) -> DataFrame:
+    """nodes (sid, rep, n, sig) to sid, comp of those that have links."""
+    posts = nodes.select("sid", F.posexplode("sig").alias("at", "v")).select("sid", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)).alias("k"))
     often = scratch.store(posts.groupBy("k").agg(F.count("*").alias("f")).where("f >= 2"), "often")
     free(docs.sparkSession)
     shared = posts.join(often, "k").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("f", "k"))).alias("x")).where(F.size("x") >= matches)
     prefix = shared.select("sid", F.explode(F.slice("x", F.lit(1), F.size("x") - (matches - 1))).alias("y")).select("sid", F.col("y.k").alias("k"))
     lists = scratch.store(prefix, "prefix")
     scratch.drop("often")
-    alone = lists.groupBy("k").agg(F.count("*").alias("f")).where("f >= 2").select("k")
+    alone = scratch.store(lists.groupBy("k").agg(F.count("*").alias("f")).where("f >= 2").select("k"), "several")
     lists = scratch.store(lists.join(alone, "k").join(nodes.select("sid", "n"), "sid"), "lists")
-    used = lists.select("sid").distinct().join(nodes.select("sid", "rep", "keys"), "sid")
-    wanted = used.select("sid", F.col(f"rep.{key}").alias("_treefold_k"), F.col(f"rep.{TAG}").alias("_treefold_t"))
-    texts = docs.join(wanted, F.col(key).eqNullSafe(F.col("_treefold_k")) & (F.col(TAG) == F.col("_treefold_t"))).select("sid", F.col(text).alias("text"))
-    texts = scratch.store(texts, "texts")
-    used = scratch.store(used.select("sid", "keys"), "used")
-    free(docs.sparkSession)
+    scratch.drop("prefix", "several")
     # every member meets the pivot it collides with most, of the pivots of its lists
-    pivot = lists.groupBy("k").agg(F.min(F.struct("sid", "n")).alias("p")).select("k", F.col("p.sid").alias("p"), F.col("p.n").alias("m"))
+    pivot = scratch.store(lists.groupBy("k").agg(F.min(F.struct("sid", "n")).alias("p")).select("k", F.col("p.sid").alias("p"), F.col("p.n").alias("m")), "pivots")
     fit = (F.col("sid") != F.col("p")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     met = lists.join(pivot, "k").where(fit).select("sid", "p").distinct()
-    sig = used.select("sid", F.col("keys").alias("ka")), used.select(F.col("sid").alias("p"), F.col("keys").alias("kb"))
-    hits = met.join(sig[0], "sid").join(sig[1], "p").select("sid", "p", F.size(F.array_intersect("ka", "kb")).alias("hits")).where(F.col("hits") >= matches)
-    best = hits.groupBy("sid").agg(F.max(F.struct("hits", "p")).alias("z")).select(F.col("sid").alias("b"), F.col("z.p").alias("a"))
-    edges = scratch.store(confirm(scratch.store(best, "pairs"), texts, size, percent).where("linked").select("a", "b"), "edges")
+    both = met.join(nodes.select("sid", F.col("sig").alias("x")), "sid").join(nodes.select(F.col("sid").alias("p"), F.col("sig").alias("y")), "p")
+    hits = both.select("sid", "p", F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda z: z)).alias("hits")).where(F.col("hits") >= matches)
+    best = scratch.store(hits.groupBy("sid").agg(F.max(F.struct("hits", "p")).alias("z")).select(F.col("sid").alias("b"), F.col("z.p").alias("a")), "pairs")
+    scratch.drop("pivots")
+    wanted = best.select(F.col("a").alias("sid")).unionByName(best.select(F.col("b").alias("sid"))).distinct()
+    texts = scratch.store(_texts(wanted, nodes, docs, key, text), "texts")
+    edges = scratch.store(confirm(best, texts, size, percent).where("linked").select("a", "b"), "edges")
+    scratch.drop("texts", "pairs")
     comp = scratch.store(components(edges, scratch, "cc"), "comp")
     # lists whose members are in several components still need their members compared
-    near = lists.select("k", "sid", "n").join(comp.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("c", F.coalesce("comp", "sid")).drop("comp")
-    mixed = near.groupBy("k").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("sid").alias("p")).where("x <> y").select("k", "p")
-    open_lists = scratch.store(near.join(mixed, "k"), "open")
-    group = components(open_lists.select(F.col("sid").alias("a"), F.col("p").alias("b")).where("a <> b"), scratch, "groups").select(F.col("node").alias("sid"), F.col("comp").alias("g"))
-    more = scratch.store(compare(open_lists.select("sid", "n", "c").distinct().join(group, "sid"), texts, size, percent), "more")
-    scratch.drop("texts", "prefix", "open", "lists")
-    return scratch.store(components(edges.unionByName(more), scratch, "all"), "linked")
+    near = lists.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("comp", "sid")).drop("comp")
+    near = scratch.store(near, "near")
+    mixed = scratch.store(near.groupBy("k").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("k"), "mixed")
+    opened = scratch.store(near.join(mixed, "k"), "open")
+    scratch.drop("lists", "near", "mixed")
+    candidates = scratch.store(collide(opened, nodes, scratch, matches, percent), "candidates")
+    if candidates.limit(1).count():
+        group = components(candidates, scratch, "groups").select(F.col("node").alias("sid"), F.col("comp").alias("g"))
+        members = scratch.store(opened.select("sid", "n", "c").distinct().join(group, "sid"), "members")
+        texts = scratch.store(_texts(members.select("sid"), nodes, docs, key, text), "texts")
+        more = scratch.store(compare(members, texts, size, percent), "more")
+        comp = scratch.store(components(edges.unionByName(more), scratch, "all"), "linked")
+        scratch.drop("members", "texts", "more", "comp")
+    scratch.drop("open", "candidates", "edges")
+    return comp.withColumnRenamed("node", "sid")
+
+
+def _texts(sids: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """sid, text of the given nodes."""
+    wanted = sids.join(nodes, "sid").select("sid", F.col(f"rep.{key}").alias("_treefold_k"), F.col(f"rep.{TAG}").alias("_treefold_t"))
+    return docs.join(wanted, F.col(key).eqNullSafe(F.col("_treefold_k")) & (F.col(TAG) == F.col("_treefold_t"))).select("sid", F.col(text).alias("text")).dropDuplicates(["sid"])
+
+
+def dealt(members: DataFrame, by: str, block_rows: int, block_shingles: int | None = None) -> DataFrame:
+    """members (by, sid, n, c) of each group dealt to pairs of blocks of bounded size, so that any two members of different
+    components c meet in one: by, i, j, asks, sid, n, c. Of a group's largest component no two members meet."""
+    each = members.groupBy(by, "c").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    total = each.groupBy(by).agg(F.max(F.struct("m", "c", "s")).alias("z"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    many = lambda m, s: F.greatest(F.ceil(m / block_rows), F.ceil(s / block_shingles) if block_shingles else F.lit(1)).cast("int")
+    shape = total.select(by, F.col("z.c").alias("main"), many(F.col("m") - F.col("z.m"), F.col("s") - F.col("z.s")).alias("p"), many(F.col("m"), F.col("s")).alias("q"))
+    rows = members.join(shape, by)
+    own = lambda salt, n: F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(n)).cast("int")
+    left = rows.where("c <> main").select(by, own(1, "p").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(True).alias("asks"), "sid", "n", "c")
+    right = rows.select(by, F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), own(2, "q").alias("j"), F.lit(False).alias("asks"), "sid", "n", "c")
+    return left.unionByName(right)
+
+
+def forest(pairs: Iterator[tuple[int, int]], sid: np.ndarray, names: np.ndarray) -> pd.DataFrame:
+    """Of pairs of positions those that join two names not yet joined: a, b (of sid)."""
+    top, edges = {}, []
+
+    def root(x):
+        while (up := top.setdefault(x, x)) != x:
+            top[x] = x = top[up]
+        return x
+
+    for x, y in pairs:
+        if (r := root(names[x])) != (q := root(names[y])):
+            top[r] = q
+            edges.append((min(sid[x], sid[y]), max(sid[x], sid[y])))
+    return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+
+
+def collide(opened: DataFrame, nodes: DataFrame, scratch: Scratch, matches: int, percent: int, block_rows: int = 400) -> DataFrame:
+    """opened (k, sid, n, c), posting lists with members of several components, to a, b: a spanning forest, block by block,
+    of the pairs that collide in `matches` coordinates, are of different components, and may link by their sizes.
+
+    Collisions are counted on signatures; no text takes part. Of lists with the same members one is taken.
+    """
+    bits = lambda salt: F.bit_xor(F.xxhash64("sid", F.lit(salt)))
+    once = opened.groupBy("k").agg(F.count("*").alias("f"), bits(1).alias("x"), bits(2).alias("y")).groupBy("f", "x", "y").agg(F.min("k").alias("k")).select("k")
+    members = scratch.store(opened.join(scratch.store(once, "once"), "k"), "listed")
+    work = dealt(members, "k", block_rows).join(nodes.select("sid", "sig"), "sid")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sig, asks = np.stack(pdf["sig"].to_numpy()), pdf["asks"].to_numpy()
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        sid, n, c = (pdf[x].to_numpy() for x in ("sid", "n", "c"))
+        return forest(colliding(sig, n, c, left, right, matches, percent), sid, sid)
+
+    return work.groupBy("k", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
+def colliding(sig: np.ndarray, n: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray, matches: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs from left and right whose signatures collide often enough, of different components, of sizes that may link."""
+    same = np.zeros((len(left), len(right)), np.int32)
+    for at in range(sig.shape[1]):
+        same += sig[left, at][:, None] == sig[right, at][None, :]
+    a, b = n[left][:, None], n[right][None, :]
+    ok = (same >= matches) & (c[left][:, None] != c[right][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+    for x, y in zip(*np.nonzero(ok)):
+        yield left[x], right[y]
 
 
 def compare(members: DataFrame, texts: DataFrame, size: int, percent: int, block_rows: int = 400, block_shingles: int = 300_000) -> DataFrame:
@@ -166,38 +245,18 @@ def compare(members: DataFrame, texts: DataFrame, size: int, percent: int, block
     Groups are dealt by hash to blocks of bounded size, and each pair of blocks is one task's work. Their intersections
     are products of 0/1 matrices over the shingles that occur twice. Of all links only a spanning forest is returned.
     """
-    shape = members.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
-    dealt = members.join(shape, "g").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("g", "sid", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    work = dealt.join(texts, "sid")
-
-    def run(key: tuple, pdf):
-        import pandas as pd
-
-        _, i, j = key
-        found = [shingles(x, size) for x in pdf["text"]]
-        left = np.flatnonzero(pdf["own"].to_numpy() == i)
-        right = np.flatnonzero(pdf["own"].to_numpy() == j)
-        sid, top = pdf["sid"].to_numpy(), {}
-
-        def root(x):
-            while (up := top.setdefault(x, x)) != x:
-                top[x] = x = top[up]
-            return x
-
-        names, edges = pdf["c"].to_numpy(), []
-        for x, y in linked_pairs(found, left, right, percent):
-            if (r := root(names[x])) != (q := root(names[y])):
-                top[r] = q
-                edges.append((min(sid[x], sid[y]), max(sid[x], sid[y])))
-        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+    work = dealt(members, "g", block_rows, block_shingles).join(texts, "sid")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found, asks = [shingles(x, size) for x in pdf["text"]], pdf["asks"].to_numpy()
+        pairs = linked_pairs(found, np.flatnonzero(asks), np.flatnonzero(~asks), percent)
+        return forest(pairs, pdf["sid"].to_numpy(), pdf["c"].to_numpy())
 
     return work.groupBy("g", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def linked_pairs(found: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, width: int = 4096) -> Iterator[tuple[int, int]]:
-    """Pairs from left and right (or within left, if they are the same) that link."""
+    """Pairs from left and right that link."""
     n = np.array([len(x) for x in found])
     _, column, count = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(found)), n)
@@ -215,40 +274,40 @@ def linked_pairs(found: list[np.ndarray], left: np.ndarray, right: np.ndarray, p
     both = inside.astype(np.int64)
     ok = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
     for x, y in zip(*np.nonzero(ok)):
-        if left[x] != right[y]:
-            yield left[x], right[y]
+        yield left[x], right[y]
 
 
-def _marked(df: DataFrame, key: str, text: str, size: int = 5, percent: int = 80, coordinates: int = 64, matches: int = 34) -> DataFrame:
+def _marked(df: DataFrame, scratch: Scratch, key: str, text: str, size: int = 5, percent: int = 80, coordinates: int = 64, matches: int = 34) -> DataFrame:
     """One row a document: the key, the tag, n, best (the key and tag that stand for its component)."""
-    docs, scratch = tagged(only(df, key, text), key, text), Scratch(df.sparkSession, "neardup")
+    docs = tagged(only(df, key, text), key, text)
     each = scratch.store(sets(docs, key, text, size, coordinates), "sets")
-    nodes = each.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct(key, TAG)).alias("rep"), F.first("keys").alias("keys"))
+    nodes = each.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct(key, TAG)).alias("rep"), F.first("sig").alias("sig"))
     nodes = scratch.store(nodes.withColumn("sid", F.monotonically_increasing_id()), "nodes")
-    each = each.drop("keys")
+    each = scratch.store(each.drop("sig"), "rows")
+    scratch.drop("sets")
     comp = link(nodes, docs, scratch, key, text, size, matches, percent)
-    named = nodes.select("sid", "s1", "s2", "n", F.col("rep").alias("best"))
-    if comp is not None:
-        grouped = named.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        least = F.coalesce(F.min(F.when(F.col(f"best.{key}").isNotNull(), F.col("best"))), F.min("best"))  # a null key only if there is no other
-        named = grouped.drop("best").join(grouped.where("comp is not null").groupBy("comp").agg(least.alias("best")), "comp")
-    named = scratch.store(named.select("s1", "s2", "n", "best"), "named")
+    named = nodes.select("sid", "s1", "s2", "n", F.col("rep").alias("best")).join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    least = F.coalesce(F.min(F.when(F.col(f"best.{key}").isNotNull(), F.col("best"))), F.min("best"))  # a null key only if there is no other
+    leaders = scratch.store(named.groupBy("comp").agg(least.alias("best")), "leaders")
+    named = scratch.store(named.drop("best").join(leaders, "comp").select("s1", "s2", "n", "best"), "named")
+    scratch.drop("nodes", "comp", "linked", "leaders")
     got = each.where("n > 0").join(named, ["s1", "s2", "n"]).select(key, TAG, "n", "best")
     return got.unionByName(each.where("n = 0").select(key, TAG, "n", F.struct(key, TAG).alias("best")))
 
 
 def mark(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row a document: the key, n_shingles, component_id (the least key reachable), kept (whether that is its own)."""
-    got = _marked(df, key, text, **how).withColumn("component_id", F.col(f"best.{key}"))
+    got = _marked(df, Scratch(df.sparkSession, "neardup"), key, text, **how).withColumn("component_id", F.col(f"best.{key}"))
     return got.select(key, F.col("n").alias("n_shingles"), "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows that stay, with all their columns: of each component one row, of its least key. Texts without words all stay."""
-    scratch = Scratch(df.sparkSession, "neardup-kept")
+    scratch = Scratch(df.sparkSession, "neardup")
     own = F.col(key).eqNullSafe(F.col(f"best.{key}")) & (F.col(TAG) == F.col(f"best.{TAG}"))
-    kept = _marked(df, key, text, **how).where(own).groupBy(key, TAG).agg(F.count("*").alias("_treefold_c"), F.max("n").alias("_treefold_n"))
+    kept = _marked(df, scratch, key, text, **how).where(own).groupBy(key, TAG).agg(F.count("*").alias("_treefold_c"), F.max("n").alias("_treefold_n"))
     kept = scratch.store(kept, "kept")
+    scratch.drop("rows", "named")
     rows, often = tagged(df, key, text), kept.where("_treefold_c > 1 and _treefold_n > 0").select(key, TAG)
     stay = _by_row(rows, kept.select(key, TAG), key, "left_semi")
     if not often.limit(1).count():
