@@ -6,7 +6,8 @@ anywhere else, in the same document too, goes.
 Which windows to post: every window is represented by its minimizer, the least of its `gram`-word hashes (leftmost of
 equals). Equal windows have the same minimizer at the same place, so an index of minimizers misses none. Consecutive
 windows with one minimizer form a region, posted as one row: (fp, body, key, first window, windows), where fp is the
-64-bit hash of the minimizer and body a 64-bit hash of all the region's words. That is about a row for 14 words.
+64-bit hash of the minimizer and body a 64-bit hash of all the region's words, made from other word hashes than fp. That
+is about a row for 14 words.
 
 The index is a log of immutable runs, each sorted by fp with one row a fingerprint. The documents of one call come in
 `batches` batches by hash; a batch's run is merge-joined with every older run on fp, and runs are merged when `fan` of
@@ -14,8 +15,8 @@ them are of one size. Matches are verified once, after the last batch, on the po
 (fp, n), no postings, and the index is closed at the end of the call: a new batch can't be deduplicated against earlier
 calls, and with as many batches as `fan` the merged run is never read.
 
-Regions with equal body are equal as a whole. Regions that share only fp are opened: their windows are compared by
-128-bit hashes, one copy of each different body only, so that a group of copies is compared once.
+Regions with equal fp and body are equal as a whole: their words have the same independent hash, their minimizers another.
+Regions that share only fp are opened: their windows are compared by two independent 64-bit hashes, one copy of each different body only, so that a group of copies is compared once.
 
 Null texts have no words. Documents shorter than a window lose nothing. Repeated rows and repeated ids are separate
 documents. An empty table gives no rows. Extra columns are ignored.
@@ -102,13 +103,13 @@ def least(h: np.ndarray, n: int) -> np.ndarray:
     return pos
 
 
-def regions(a: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """fp, body, first window, number of windows of each region of one document."""
+def regions(a: np.ndarray, b: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """fp, body, first window, number of windows of each region of one document, from two independent hashes of its words."""
     grams = mix(rolling(a, gram, M1))
     at = least(grams, window - gram + 1)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     count = np.diff(np.append(first, len(at)))
-    return grams[at[first]], span_hash(a, first, first + count + window - 1, M3), first, count
+    return grams[at[first]], span_hash(b, first, first + count + window - 1, M3), first, count
 
 
 def span_hash(h: np.ndarray, start: np.ndarray, stop: np.ndarray, m: np.uint64) -> np.ndarray:
@@ -153,7 +154,7 @@ def post(df: DataFrame, key: str, text: str, window: int, gram: int) -> DataFram
                 words = words_of(x.as_py())
                 if len(words) < window:
                     continue
-                got = regions(word_hashes().of(words)[0], window, gram)
+                got = regions(*word_hashes().of(words), window, gram)
                 at.append(np.full(len(got[0]), i, np.int64))
                 for c, v in zip(cols, got):
                     c.append(v)
