@@ -6,7 +6,8 @@ until every document has one name. Names stand for contents without collisions:
 of equal 128-bit hash are compared byte by byte, and if two differ the pass is repeated with another hash seed.
 
 A block's content is shuffled once for each task that holds it, so a group of copies with a third of all rows sends as
-many blocks as there are tasks. References to blocks are a few integers; joins on hot names are split by Spark.
+many blocks as there are tasks, and contents are never stored: references to blocks, a few integers each, come from a
+second pass over the texts. Joins on hot names are split by Spark.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the largest key
 stays (null is smallest); of rows that share that key too, one stays. Empty tables give no rows; extra columns are
@@ -24,47 +25,66 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treefold.llm.common import Scratch, fold_ascii, let_go, only, shuffle_partitions
+from treefold.llm.common import Scratch, fold_ascii, free, let_go, only, shuffle_partitions
 
 #: Bytes of blocks that a task remembers having sent; beyond them a block may be sent again.
 REMEMBER = 32 << 20
 SHIFT = 40
 
 
-def _blocks(df: DataFrame, key: str, text: str, size: int, seed: int) -> DataFrame:
-    """Two kinds of rows. References: _row, pos, n, h1, h2, and for pos 0 the key and sha. Contents: h1, h2, block."""
-    key_type = df.schema[key].dataType.simpleString()
+def _hashed(data: bytes, size: int, seed: int) -> Iterator[tuple[int, int, bytes]]:
+    """h1, h2 and content of each block; an empty text is one empty block."""
+    for at in range(0, max(1, len(data)), size):
+        block = data[at : at + size]
+        h = xxhash.xxh3_128_intdigest(block, seed)
+        yield (h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63), block
+
+
+def _folded(text: str | None) -> bytes:
+    return (text or "").encode().lower()
+
+
+def _contents(df: DataFrame, text: str, size: int, seed: int) -> DataFrame:
+    """h1, h2, block: each block once a task, as far as the task remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        row, sent, held = TaskContext.get().partitionId() << SHIFT, set(), 0
+        sent, held = set(), 0
         for batch in batches:
-            refs, blocks = [], []
-            at = []
-            for i, x in enumerate(batch.column(1)):
-                data = (x.as_py() or "").encode().lower()
-                n = max(1, -(-len(data) // size))
-                for pos in range(n):
-                    block = data[pos * size : (pos + 1) * size]
-                    h = xxhash.xxh3_128_intdigest(block, seed)
-                    h1, h2 = (h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63)
-                    refs.append((row, pos, n, h1, h2, hashlib.sha256(data).hexdigest() if pos == 0 else None, None))
-                    at.append(i if pos == 0 else None)
-                    if (mark := (h, len(block))) not in sent:
+            out = []
+            for x in batch.column(0):
+                for h1, h2, block in _hashed(_folded(x.as_py()), size, seed):
+                    if (mark := (h1, h2, len(block))) not in sent:
                         if held > REMEMBER:
                             sent.clear()
                             held = 0
                         sent.add(mark)
-                        held += 150
-                        blocks.append((None, None, None, h1, h2, None, block))
+                        held += 200
+                        out.append((h1, h2, block))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["h1", "h2", "block"])
+
+    return only(df, text).mapInArrow(run, "h1 long, h2 long, block binary")
+
+
+def _references(df: DataFrame, key: str, text: str, size: int, seed: int) -> DataFrame:
+    """_row, pos, n, h1, h2, and for pos 0 the key and sha."""
+    key_type = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << SHIFT
+        for batch in batches:
+            refs, at = [], []
+            for i, x in enumerate(batch.column(1)):
+                data = _folded(x.as_py())
+                n = max(1, -(-len(data) // size))
+                refs += [(row, pos, n, h1, h2, None if pos else hashlib.sha256(data).hexdigest()) for pos, (h1, h2, _) in enumerate(_hashed(data, size, seed))]
+                at += [i] + [None] * (n - 1)
                 row += 1
-            rows = refs + blocks
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            keys = batch.column(0).take(pa.array(at + [None] * len(blocks), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*cols[:5], keys, *cols[5:]], names=["_row", "pos", "n", "h1", "h2", key, "sha", "block"])
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+            cols = [pa.array([r[k] for r in refs], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*cols[:5], batch.column(0).take(pa.array(at, pa.int64())), cols[5]], names=["_row", "pos", "n", "h1", "h2", key, "sha"])
 
-    return only(df, key, text).mapInArrow(run, f"_row long, pos int, n int, h1 long, h2 long, `{key}` {key_type}, sha string, block binary")
+    return only(df, key, text).mapInArrow(run, f"_row long, pos int, n int, h1 long, h2 long, `{key}` {key_type}, sha string")
 
 
 def _numbered(contents: DataFrame) -> DataFrame:
@@ -86,24 +106,25 @@ def _numbered(contents: DataFrame) -> DataFrame:
     return contents.mapInArrow(run, "h1 long, h2 long, name long, clash boolean")
 
 
-def identities(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", block: int = 16384) -> DataFrame:
+def identities(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", block: int = 1024) -> DataFrame:
     """_row, the key, sha, level, name: rows have equal texts iff (level, name) are equal."""
     spark, seed = df.sparkSession, 0
     while True:
-        both = scratch.store(_blocks(df, key, text, block, seed), "blocks")
-        contents = both.where("block is not null").select("h1", "h2", "block")
-        names = scratch.store(_numbered(contents.repartition(shuffle_partitions(spark), "h1", "h2").sortWithinPartitions("h1", "h2", "block")), "names")
+        contents = _contents(df, text, block, seed).repartition(shuffle_partitions(spark), "h1", "h2")
+        names = scratch.store(_numbered(contents.sortWithinPartitions("h1", "h2", "block")), "names")
+        free(spark)
         if not names.where("clash").limit(1).count():
             break
         seed += 1
-    refs = both.where("_row is not null").join(names.select("h1", "h2", "name"), ["h1", "h2"]).select("_row", "pos", "n", "name", key, "sha")
+    refs = scratch.store(_references(df, key, text, block, seed), "references")
+    refs = refs.join(names.select("h1", "h2", "name"), ["h1", "h2"]).select("_row", "pos", "n", "name", key, "sha")
     level, state = 0, scratch.store(refs, "level0")
-    scratch.drop("blocks", "names")
+    scratch.drop("references", "names")
     ids = state.where("pos = 0").select("_row", key, "sha")
     done = state.where("n = 1").select("_row", F.lit(0).alias("level"), "name")
     left = state.where("n > 1").select("_row", "pos", "n", "name")
     while left.limit(1).count():
-        level += 1
+        level, held = level + 1, f"level{level}"
         half = F.expr("pos div 2").cast("int")
         pairs = left.groupBy("_row", half.alias("pos"), F.expr("(n + 1) div 2").cast("int").alias("n")).agg(
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("l"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("r")
@@ -112,23 +133,25 @@ def identities(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
         numbered = pairs.select("l", "r").distinct().sortWithinPartitions("l", "r").withColumn("name", F.monotonically_increasing_id())
         numbered = scratch.store(numbered, f"numbers{level}")
         now = scratch.store(pairs.join(numbered, ["l", "r"]).select("_row", "pos", "n", "name"), f"level{level}")
-        scratch.drop(f"pairs{level}", f"numbers{level}")
-        done = done.unionByName(now.where("n = 1").select("_row", F.lit(level).alias("level"), "name"))
+        scratch.drop(f"pairs{level}", f"numbers{level}", *[held] * (level > 1))
+        done = done.unionByName(scratch.store(now.where("n = 1").select("_row", F.lit(level).alias("level"), "name"), f"done{level}"))
         left = now.where("n > 1")
-    return ids.join(done, "_row")
+    out = scratch.store(ids.join(done, "_row"), "identities")
+    scratch.drop("level0", *[f"level{level}"] * (level > 0), *[f"done{k}" for k in range(1, level + 1)])
+    return out
 
 
-def mark(df: DataFrame, key: str = "doc_id", text: str = "text", block: int = 16384) -> DataFrame:
+def mark(df: DataFrame, key: str = "doc_id", text: str = "text", block: int = 1024) -> DataFrame:
     """One row a document: the key, keep_id, group_size, kept, text_sha256."""
     scratch = Scratch(df.sparkSession, "exactdup")
-    each = scratch.store(identities(df, scratch, key, text, block), "identities")
+    each = identities(df, scratch, key, text, block)
     groups = each.groupBy("level", "name").agg(F.max(F.struct(key, "_row")).alias("best"), F.count("*").alias("group_size"))
     groups = scratch.store(groups, "groups")  # so that Spark may split a hot group's side of the join
     both = each.join(groups, ["level", "name"])
     return both.select(key, F.col(f"best.{key}").alias("keep_id"), "group_size", (F.col("_row") == F.col("best._row")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", block: int = 16384) -> DataFrame:
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", block: int = 1024) -> DataFrame:
     """The rows that stay, with all their columns."""
     scratch = Scratch(df.sparkSession, "exactdup-kept")
     kept = scratch.store(mark(df, key, text, block).where("kept").select(F.col(key).alias("_treefold_k")), "kept").distinct()
