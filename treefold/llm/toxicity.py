@@ -1,14 +1,17 @@
 """Toxicity by cumulative-link ordinal regression.
 
 P(grade <= k) = sigmoid(theta_k - w.x), with one weight vector w for all thresholds theta_1 < theta_2. The result is the
-expected severity, the sum of P(grade > k). Features are sparse: whether a word occurs in the text.
+expected severity, the sum of P(grade > k). Features are sparse: whether a word, or a word with a certain beginning, occurs in the text.
 
-Labels only say toxic or not, so the grades are built from them: 0 for label 0; among toxic documents those with more
-distinct words typical of toxic labels than the median get grade 2, the others 1.
+Labels only say toxic or not, so the grades are built from them: 0 for label 0; a toxic document gets grade 2 if the share
+of its words (repetitions count) that are typical of toxic labels is above the median of toxic documents, else 1. Which
+words are typical is learned from the other half of the sample, so a row's label takes no part in its own grade; and the
+features, which say only whether a word occurs, know neither repetitions nor a text's length.
 
-The model is fitted on a bounded sample of labelled rows (`fit_rows`) and has at most `features` words; both are
-parameters. Half the sample at most is of one label; a row weighs as many labelled rows as it stands for, so that the
-thresholds are those of all labelled rows. Scoring reads every whole text and needs no shuffle. Null and empty texts have no features and get the
+The model is fitted on a bounded sample of labelled rows (`fit_rows`, a parameter). Its words are all that tell the labels
+apart in that sample by a likelihood ratio of `ratio`, and occur in `least` rows. Half the sample at most is of one label; a
+row weighs as many labelled rows as it stands for, so that the thresholds are those of all labelled rows. Scoring reads
+every whole text and needs no shuffle. Null and empty texts have no features and get the
 severity of the thresholds alone. Without labels of both kinds everything has severity 0. Repeated rows are scored
 each. Extra columns are ignored by severity(), and kept by keep().
 """
@@ -29,9 +32,14 @@ from treefold.llm.wordbpe import Cache
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def parts(word: str) -> list[str]:
+    """A word's features: the word itself and, marked, its beginnings of 4 to 7 letters, which inflected forms share."""
+    return [word, *[word[:k] + "*" for k in range(4, min(8, len(word)))]]
+
+
 def bag(text: str | None) -> set[str]:
-    """The distinct words: runs of letters, lower-cased."""
-    return set(LETTERS.findall((text or "").lower()))
+    """The features that occur in a text; words are runs of letters, lower-cased."""
+    return {f for w in set(LETTERS.findall((text or "").lower())) for f in parts(w)}
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -65,7 +73,7 @@ class Ordinal:
         return _sigmoid(z - self.thresholds)
 
 
-def fit_ordinal(ids: list[np.ndarray], d: int, y: np.ndarray, grades: int, steps: int = 400, rate: float = 0.1, decay: float = 1e-5, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(ids: list[np.ndarray], d: int, y: np.ndarray, grades: int, steps: int = 400, rate: float = 0.1, decay: float = 1e-4, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds by maximum likelihood with a small L2 penalty (Adam on the whole batch). ids: the
     features that each row has, of d. weight: how many rows each row stands for, 1 by default."""
     n = len(ids)
@@ -92,46 +100,52 @@ def fit_ordinal(ids: list[np.ndarray], d: int, y: np.ndarray, grades: int, steps
     return p[:d], p[d] + np.concatenate(([0.0], np.cumsum(np.exp(p[d + 1 :]))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, features: int = 3000, least: int = 3) -> Ordinal | None:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, least: int = 3, ratio: float = 10.0) -> Ordinal | None:
     """docs (doc_id, text) and labels (doc_id, toxic) to a model; None without labels of both kinds."""
-    lab = only(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    parts, stands_for = zip(*(weighted_sample(lab.where(F.col("toxic") == t), "doc_id", fit_rows // 2) for t in (0, 1)))
-    rows = only(docs, "doc_id", "text").where("text is not null").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")  # fit_rows rows at most
+    lab = only(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    samples, stands_for = zip(*(weighted_sample(lab.where(F.col("toxic") == t), "doc_id", fit_rows // 2) for t in (0, 1)))
+    sampled = F.broadcast(samples[0].unionByName(samples[1]).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2)).cast("int")))  # fit_rows rows at most
+    rows = only(docs, "doc_id", "text").where("text is not null").join(sampled, "doc_id").select("text", "toxic", "half")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got, kind = [], []
-            for x, t in zip(batch.column(0), batch.column(1).to_pylist()):
+            got, kind, part = [], [], []
+            for x, t, h in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 found = bag(x.as_py())
                 got += found
                 kind += [t] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), pa.array(kind, pa.int32())], names=["w", "toxic"])
+                part += [h] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), pa.array(kind, pa.int32()), pa.array(part, pa.int32())], names=["w", "toxic", "half"])
 
-    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if set(n) != {0, 1}:
+    sizes = {(r["toxic"], r["half"]): r["n"] for r in rows.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
+    n = [sum(v for k, v in sizes.items() if k[0] == t) for t in (0, 1)]
+    if not n[0] or not n[1]:
         return None
-    df = rows.select("text", F.col("toxic").cast("int")).mapInArrow(words, "w string, toxic int").groupBy("w").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    odds = F.log(((F.col("bad") + 0.5) / n[1]) / ((F.col("good") + 0.5) / n[0]))
+    each = {f"c{t}{h}": F.count(F.when((F.col("toxic") == t) & (F.col("half") == h), 1)) for t in (0, 1) for h in (0, 1)}
+    df = rows.mapInArrow(words, "w string, toxic int, half int").groupBy("w").agg(*[c.alias(k) for k, c in each.items()])
+    df = df.withColumn("bad", F.col("c10") + F.col("c11")).withColumn("good", F.col("c00") + F.col("c01"))
     # likelihood-ratio statistic of the word against the labels: chance alone seldom gives 10
     rate, n_word = n[1] / (n[0] + n[1]), F.col("bad") + F.col("good")
     part = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n_word * share))).otherwise(0.0)
-    df = df.where(n_word >= least).withColumn("odds", odds).withColumn("g", 2 * (part("bad", rate) + part("good", 1 - rate)))
-    best = df.where("g >= 10").orderBy(F.desc("g"), "w").limit(features).collect()
-    vocabulary, typical = [r["w"] for r in best], {r["w"] for r in best if r["odds"] > 2}
+    best = df.where(n_word >= least).where(2 * (part("bad", rate) + part("good", 1 - rate)) >= ratio).orderBy("w").collect()
+    vocabulary = [r["w"] for r in best]
     number = {w: i for i, w in enumerate(vocabulary)}
+    # by half, the words typical of toxic labels in the other one
+    odds = lambda r, h: np.log((r[f"c1{h}"] + 0.5) / (sizes.get((1, h), 0) + 1)) - np.log((r[f"c0{h}"] + 0.5) / (sizes.get((0, h), 0) + 1))
+    typical = [{r["w"] for r in best if odds(r, 1 - h) > 2} for h in (0, 1)]
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, many = [], []
-            for x in batch.column(0):
-                found = bag(x.as_py())
-                many.append(sum(w in typical for w in found))
-                ids.append([number[w] for w in found if w in number])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(many, pa.int64())], names=["toxic", "ids", "many"])
-
-    sample = rows.select("text", F.col("toxic").cast("int")).mapInArrow(sparse, "toxic int, ids array<int>, many long").toPandas()
-    toxic, many = sample["toxic"].to_numpy(), sample["many"].to_numpy()
-    y = np.where(toxic == 0, 0, np.where(many > np.median(many[toxic == 1]), 2, 1)).astype(np.int64)
+            ids, share = [], []
+            for x, h in zip(batch.column(0), batch.column(2).to_pylist()):
+                found = LETTERS.findall(x.as_py().lower())
+                share.append(sum(not typical[h].isdisjoint(parts(w)) for w in found) / max(1, len(found)))
+                ids.append([number[f] for f in bag(x.as_py()) if f in number])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(share, pa.float64())], names=["toxic", "ids", "share"])
+
+    sample = rows.mapInArrow(sparse, "toxic int, ids array<int>, share double").toPandas()
+    toxic, share = sample["toxic"].to_numpy(), sample["share"].to_numpy()
+    y = np.where(toxic == 0, 0, np.where(share > np.median(share[toxic == 1]), 2, 1)).astype(np.int64)
     ids = [np.sort(i) for i in sample["ids"]]
     order = sorted(range(len(ids)), key=lambda i: (y[i], ids[i].tolist()))  # the same sums whatever order the rows came in
     weights, thresholds = fit_ordinal([ids[i] for i in order], len(vocabulary), y[order], 3, weight=np.where(y[order] > 0, stands_for[1], stands_for[0]))
