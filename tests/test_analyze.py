@@ -78,6 +78,16 @@ def test_random(spark):
         assert found(spark, data) == model(data)
 
 
+def test_positions_in_a_large_set(spark):
+    data = [(i, f"d{i % 7}/{i:05d}", "h1" if i % 3 else f"u{i % 5}", "File", 4, [], 0) for i in range(4000)]
+    got = analyze.ranked(spark.createDataFrame(data, SCHEMA).repartition(9)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["hash"], []).append((r["position"], r["ord"]))
+    assert len(by) == 6 and len(got) == 4000
+    assert all([p for p, _ in sorted(x)] == list(range(1, len(x) + 1)) and sorted(x) == sorted(x, key=lambda y: y[1]) for x in by.values())
+
+
 def test_summary_and_empty(spark):
     df = spark.createDataFrame(rows(GOLDEN["M4"][0]), SCHEMA)
     assert analyze.summary(df).first().asDict() == {"sets": 2, "redundant_units": 7, "redundant_bytes": 6, "redundant_directories": 1, "redundant_gib": 0}

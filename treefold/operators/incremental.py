@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from treefold.schema import DIRECTORY
+
 
 def keep_last(records: DataFrame, key: str = "path", order: str = "ord") -> DataFrame:
     """The last record of each key, in file order. Spark plans the rank as a group limit before its shuffle."""
@@ -13,16 +15,22 @@ def keep_last(records: DataFrame, key: str = "path", order: str = "ord") -> Data
 
 
 def with_cached(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """current (path, file_type, modified, size, …) with `cached_hash` and `cached_children` from the snapshot, null
-    unless type, time and size are equal."""
-    prev = previous.select("path", F.col("file_type").alias("_t"), F.col("modified").alias("_m"), F.col("size").alias("_s"), F.col("hash").alias("_h"))
+    """current (path, file_type, modified, size, …) with `cached_hash` from the snapshot, null unless type, time and size
+    are equal, and for directories, where current has children, those too."""
+    prev = previous.select("path", F.col("file_type").alias("_t"), F.col("modified").alias("_m"), F.col("size").alias("_s"), F.col("hash").alias("_h"), F.col("children").alias("_c"))
     same = (F.col("_t") == F.col("file_type")) & (F.col("_m") == F.col("modified")) & (F.col("_s") == F.col("size"))
-    return current.join(prev, "path", "left").withColumn("cached_hash", F.when(same, F.col("_h"))).drop("_t", "_m", "_s", "_h")
+    if "children" in current.columns:
+        same &= (F.col("file_type") != DIRECTORY) | F.col("_c").eqNullSafe(F.col("children"))
+    return current.join(prev, "path", "left").withColumn("cached_hash", F.when(same, F.col("_h"))).drop("_t", "_m", "_s", "_h", "_c")
 
 
 def split_cached(current: DataFrame, previous: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits with `hash`, misses): two branches, so that only the misses reach a hashing UDF."""
-    both = with_cached(current, previous)
+    return split(with_cached(current, previous))
+
+
+def split(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """with_cached()'s rows; best stored, as both branches read them."""
     return both.where("cached_hash is not null").withColumnRenamed("cached_hash", "hash"), both.where("cached_hash is null").drop("cached_hash")
 
 

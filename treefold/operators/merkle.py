@@ -1,34 +1,20 @@
 """Order-independent hashes of directories.
 
 A directory's hash is the digest of its children's raw digests, sorted by hash. Names, types and sizes take no part; a
-NULL child adds no bytes but counts. One shuffle by parent per level of the tree; the level's result is checkpointed
-since the next level and the final union both read it.
+NULL child adds no bytes but counts. One shuffle by parent per level of the tree. The leaves are stored once, a folder per
+depth, and so is each level's result, since the next level and the final union both read it.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treefold.functions import hashing, paths
+from treefold.operators.scratch import Scratch
 from treefold.schema import DIRECTORY
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where that is unset and the master is local."""
-    if not (found := spark.conf.get("spark.checkpoint.dir", None)):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = os.path.join(tempfile.gettempdir(), f"treefold-{spark.sparkContext.applicationId}")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def _children() -> Column:
     return F.array_sort(F.collect_list(F.struct(hashing.rank(F.col("hash")).alias("r"), F.col("hash").alias("h"))))
 
@@ -47,6 +33,13 @@ def fold_level(nodes: DataFrame, algorithm: str) -> DataFrame:
     return got.select("path", hashing.digest(raw, algorithm).alias("hash"), F.size("children").cast("long").alias("size"), "children")
 
 
+def tree(leaves: DataFrame, algorithm: str = "SHA256", directories: DataFrame | None = None, include_root: bool = False, include_empty: bool = False) -> DataFrame:
+    """The leaves' records and those of all directories above them, stored: leaves are computed once."""
+    scratch, columns = Scratch(leaves.sparkSession, "tree"), leaves.columns
+    held = scratch.store(leaves.withColumn("depth", paths.depth(F.col("path"))), "leaves", "depth")
+    return held.select(*columns).unionByName(_fold(held, scratch, algorithm, directories, include_root, include_empty).select(*columns))
+
+
 def fold(leaves: DataFrame, algorithm: str = "SHA256", directories: DataFrame | None = None, include_root: bool = False, include_empty: bool = False) -> DataFrame:
     """Records of all directories above the leaves.
 
@@ -54,14 +47,19 @@ def fold(leaves: DataFrame, algorithm: str = "SHA256", directories: DataFrame |
     Directories without any leaf below get no record, unless include_empty: then size 0 and the digest of no bytes.
     Returns path, file_type, modified, size, hash, children.
     """
-    checkpoint_dir(leaves.sparkSession)
-    leaves = leaves.select("path", "hash", paths.depth(F.col("path")).alias("depth"))
+    scratch = Scratch(leaves.sparkSession, "fold")
+    held = scratch.store(leaves.select("path", "hash", paths.depth(F.col("path")).alias("depth")), "leaves", "depth")
+    return _fold(held, scratch, algorithm, directories, include_root, include_empty)
+
+
+def _fold(leaves: DataFrame, scratch: Scratch, algorithm: str, directories: DataFrame | None, include_root: bool, include_empty: bool) -> DataFrame:
+    """leaves: stored, path, hash, depth."""
+    leaves, empty = leaves.select("path", "hash", "depth"), None
     if include_empty and directories is not None:
         held = leaves.select(paths.parent(F.col("path")).alias("path")).unionByName(directories.select(paths.parent(F.col("path")).alias("path"))).distinct()
         empty = directories.select("path").join(held, "path", "left_anti").select("path", hashing.digest(F.lit(b""), algorithm).alias("hash"))
-        leaves = leaves.unionByName(empty.withColumn("depth", paths.depth(F.col("path"))))
-    else:
-        empty = None
+        empty = scratch.store(empty.withColumn("depth", paths.depth(F.col("path"))), "empty", "depth")
+        leaves = leaves.unionByName(empty)
     top = 0 if include_root else 1
     deepest = leaves.agg(F.max("depth")).first()[0]
     levels, above = [], None
@@ -69,7 +67,7 @@ def fold(leaves: DataFrame, algorithm: str = "SHA256", directories: DataFrame |
         nodes = leaves.where(F.col("depth") == d).select("path", "hash")
         if above is not None:
             nodes = nodes.unionByName(above.select("path", "hash"))
-        above = fold_level(nodes, algorithm).checkpoint()
+        above = scratch.store(fold_level(nodes, algorithm), f"level{d}")
         levels.append(above)
     if empty is not None:
         levels.append(empty.select("path", "hash", F.lit(0).cast("long").alias("size"), F.array().cast("array<string>").alias("children")))

@@ -50,9 +50,18 @@ def t2_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = t2_leaves(spark, sf_dir)
-    both = found.unionByName(merkle.fold(found).select(*found.columns))
-    return both.withColumn("ord", F.col("path"))
+    return merkle.tree(t2_leaves(spark, sf_dir)).withColumn("ord", F.col("path"))
+
+
+def t5(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:
+    """One tree, every ninth leaf of which is neither file, directory nor link; edited: every 70th file has other content."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    if edited:
+        d = d.withColumn("text", F.when(F.col("doc_id") % 70 == 11, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")))
+    odd = F.col("doc_id") % 9 == 4
+    found = tables.leaves(d, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.when(~odd, F.col("text")))
+    found = found.withColumn("file_type", F.when(F.col("hash").isNull(), "Other").otherwise(F.col("file_type"))).withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
+    return merkle.tree(found.withColumn("hash", F.coalesce("hash", F.lit(hashing.NULL_HASH)))).withColumn("ord", F.col("path"))
 
 
 def t3_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +121,22 @@ src AS (SELECT doc_id, CASE WHEN doc_id % 70 = 11 THEN text || ' changed' ELSE t
 cur AS (SELECT 'docs/' || doc_id AS path, 'File' AS file_type, modified, strlen(text)::BIGINT AS size, 'SHA256:' || sha256(text) AS hash FROM src)"""
 
 
+def t5_sql(name: str, text: str) -> str:
+    level = lambda src: f"""SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS path, 'Directory' AS file_type, count(*) AS size,
+  'SHA256:' || sha256(unhex(coalesce(string_agg(split_part(hash, ':', 2), '' ORDER BY hash) FILTER (hash <> 'NULL:00'), ''))) AS hash,
+  string_agg(hash, '|' ORDER BY hash = 'NULL:00', hash) AS children FROM {src} GROUP BY 1"""
+    return f"""
+{name}0 AS (SELECT source || '/' || lang || '/' || doc_id AS path, CASE WHEN doc_id % 9 = 4 THEN 'Other' ELSE 'File' END AS file_type, CASE WHEN doc_id % 9 = 4 THEN 0 ELSE strlen({text})::BIGINT END AS size,
+  CASE WHEN doc_id % 9 = 4 THEN 'NULL:00' ELSE 'SHA256:' || sha256({text}) END AS hash, '' AS children FROM documents),
+{name}1 AS ({level(name + '0')}),
+{name}2 AS ({level(name + '1')}),
+{name} AS (SELECT * FROM {name}0 UNION ALL SELECT * FROM {name}1 UNION ALL SELECT * FROM {name}2)"""
+
+
+T5_SQL = t5_sql("b", "text")
+T5_PAIR_SQL = t5_sql("prev", "text") + "," + t5_sql("cur", "CASE WHEN doc_id % 70 = 11 THEN text || ' changed' ELSE text END")
+
+
 def _flat(df: DataFrame, *arrays: str) -> DataFrame:
     for a in arrays:
         df = df.withColumn(a, F.concat_ws("|", a))
@@ -180,6 +205,12 @@ def merkle_tree(spark, sf_dir):
     return _flat(t2(spark, sf_dir), "children").select("path", "file_type", "size", "hash", "children")
 
 
+@query(f"WITH {T5_SQL} SELECT path, file_type, size, hash, children FROM b")
+def merkle_tree_with_others(spark, sf_dir):
+    """A NULL child adds no bytes to its directory's hash, but counts."""
+    return _flat(t5(spark, sf_dir), "children").select("path", "file_type", "size", "hash", "children")
+
+
 # --- logs
 
 
@@ -207,6 +238,13 @@ def cache_hits(spark, sf_dir):
     return incremental.split_cached(cur.select("path", "file_type", "modified", "size"), prev)[0].select("path", "hash")
 
 
+@query(f"WITH {T5_PAIR_SQL} SELECT c.path, c.file_type, p.hash FROM cur c JOIN prev p ON p.path = c.path AND p.file_type = c.file_type AND p.size = c.size AND (c.file_type <> 'Directory' OR p.children = c.children)")
+def cache_hits_of_all_types(spark, sf_dir):
+    """Files, others and directories; a directory only with the same children."""
+    now, before = t5(spark, sf_dir, edited=True), t5(spark, sf_dir)
+    return incremental.split_cached(now.select("path", "file_type", "modified", "size", "children"), before)[0].select("path", "file_type", "hash")
+
+
 @query(f"WITH {T4_SQL} SELECT c.* FROM cur c WHERE NOT EXISTS (SELECT 1 FROM prev p WHERE p.path = c.path AND p.modified = c.modified AND p.size = c.size AND p.hash = c.hash)")
 def changed_records(spark, sf_dir):
     cur, prev = t4(spark, sf_dir)
@@ -249,8 +287,9 @@ def hot_hashes(spark, sf_dir):
 @query(f"WITH {SETS_SQL} SELECT c.path, c.hash FROM cand c LEFT JOIN keep k ON k.path = c.path WHERE k.path IS NULL")
 def parent_suppressed(spark, sf_dir):
     b = t2(spark, sf_dir)
-    cand = b.join(analyze.hot_hashes(b).select("hash"), "hash", "left_semi").select("path", "hash")
-    return cand.join(analyze.unsuppressed(b).select("path"), "path", "left_anti").select("path", "hash")
+    g = analyze.groups(b)
+    cand = b.join(g.hot.select("hash"), "hash", "left_semi").select("path", "hash")
+    return cand.join(analyze.unsuppressed(g).select("path"), "path", "left_anti").select("path", "hash")
 
 
 @query(f"WITH {SETS_SQL} SELECT ftype, size, hash, conflicting, n FROM out")
@@ -263,6 +302,16 @@ def duplicate_sets_complete(spark, sf_dir):
     return _flat(analyze.duplicate_sets(t2(spark, sf_dir), "complete"), "conflicting")
 
 
+@query(f"""WITH {T5_SQL},
+hot AS (SELECT hash FROM b GROUP BY hash HAVING count(*) >= 2),
+keep AS (SELECT path FROM b c WHERE hash IN (SELECT hash FROM hot) AND file_type <> 'Other' AND NOT EXISTS (SELECT 1 FROM b p WHERE p.path = {PARENT_SQL.replace('path', 'c.path')} AND p.file_type <> 'Other' AND p.hash IN (SELECT hash FROM hot))),
+g AS (SELECT file_type AS ftype, size, hash, min(path) AS rep, string_agg(path, '|' ORDER BY path) AS conflicting, count(*) AS n FROM b WHERE file_type <> 'Other' GROUP BY hash, size, file_type, children HAVING count(*) >= 2)
+SELECT ftype, size, hash, conflicting, n FROM g WHERE rep IN (SELECT path FROM keep)""")
+def duplicate_sets_with_others(spark, sf_dir):
+    """Nodes that are neither file, directory nor link all have one hash and are never reported."""
+    return _flat(analyze.duplicate_sets(t5(spark, sf_dir)), "conflicting")
+
+
 @query(f"WITH {SETS_SQL} SELECT hash, rep, path, position FROM (SELECT hash, rep, unnest(string_split(conflicting, '|')) AS path, unnest(generate_series(1, n))::INT AS position FROM out)")
 def set_members(spark, sf_dir):
     return analyze.ranked(t2(spark, sf_dir)).select("hash", "rep", "path", "position")

@@ -25,6 +25,4 @@ def leaves(df: DataFrame, path: Column, content: Column, algorithm: str = "SHA25
 def from_table(df: DataFrame, path: Column, content: Column, algorithm: str = "SHA256", include_root: bool = False) -> DataFrame:
     """Records of the leaves and of all directories above them. File order is the order of paths, which needs no
     global ranking: `ord` is the path itself."""
-    found = leaves(df, path, content, algorithm)
-    both = found.unionByName(merkle.fold(found, algorithm, include_root=include_root).select(*found.columns))
-    return both.withColumn("ord", F.col("path"))
+    return merkle.tree(leaves(df, path, content, algorithm), algorithm, include_root=include_root).withColumn("ord", F.col("path"))
