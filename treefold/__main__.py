@@ -56,10 +56,8 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "build":
         fresh = args.overwrite or not hashlog._exists(spark, args.output)
         got = commands.resume(spark, args.directory, args.output, args.working_directory, args.hash, args.follow_symlinks, args.noclean, args.overwrite)
-        if not fresh and not args.noclean:  # compact into a new folder, then swap
-            kept = got.checkpoint()
-            hashlog.write(kept, args.output, args.hash, "overwrite")
-            hashlog.drop_appended(spark, args.output)
+        if not fresh and not args.noclean:  # compaction; the old log stays until the new one is whole
+            hashlog.write(got, args.output, args.hash, "overwrite")
     elif args.command == "clean":
         kind = hashlog.read_header(spark, args.input)["hash_type"]
         live = commands.live_nodes(spark, args.working_directory or ".", "", args.follow_symlinks)
