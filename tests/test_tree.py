@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treefold import __main__ as cli
-from treefold.operators import analyze, incremental, merkle
+from treefold.operators import analyze, incremental, merkle, scratch
 from treefold.operators import clean as cleaning
 from treefold.plans import commands
 from treefold.sources import fstree, hashlog, tables
@@ -91,24 +91,130 @@ def test_log_round_trip(spark, tree, tmp_path):
     assert hashlog.read(spark, one).count() == now.count()
 
 
-def test_log_faults(spark, tmp_path):
-    head = json.dumps(hashlog.header("SHA256", 1))
-    line = lambda h, p, t="File": json.dumps({"file_type": t, "modified": 0, "size": 1, "hash": h, "path": {"path": [{"path": p, "target": "File"}]}, "children": []})
+HEAD = json.dumps(hashlog.header("SHA256", 1))
+H256, H1 = ["SHA256:" + f"{k:064x}" for k in range(3)], "SHA1:" + "0" * 40
 
-    def log(*lines):
+
+def line(h, p, t="File", **change):
+    e = {"file_type": t, "modified": 0, "size": 1, "hash": h, "path": {"path": [{"path": p, "target": "File"}]}, "children": []} | change
+    return json.dumps({k: v for k, v in e.items() if v != "-"})
+
+
+@pytest.fixture
+def log(tmp_path):
+    def make(*lines):
         f = tmp_path / f"l{len(list(tmp_path.iterdir()))}"
         f.write_text("\n".join(lines))
         return str(f)
 
-    good = hashlog.read(spark, log(head, line("SHA256:00", "a"), "", line("SHA1:00", "b"), line("NULL:00", "c", "Other"), line("SHA256:01", "a"), '{"file_ty'))
-    assert [(r["path"], r["hash"]) for r in good.orderBy("ord").collect()] == [("a", "SHA256:00"), ("c", "NULL:00"), ("a", "SHA256:01")]
-    assert [r["hash"] for r in incremental.keep_last(good).orderBy("ord").collect()] == ["NULL:00", "SHA256:01"]
-    with pytest.raises(ValueError, match="malformed"):
-        hashlog.read(spark, log(head, "{nonsense", line("SHA256:00", "a")))
+    return make
+
+
+def test_log_faults(spark, log):
+    good = hashlog.read(spark, log(HEAD, line(H256[0], "a"), "", line(H1, "b"), line("NULL:00", "c", "Other"), line(H256[1], "a"), '{"file_ty'))
+    assert [(r["path"], r["hash"]) for r in good.orderBy("ord").collect()] == [("a", H256[0]), ("c", "NULL:00"), ("a", H256[1])]
+    assert [r["hash"] for r in incremental.keep_last(good).orderBy("ord").collect()] == ["NULL:00", H256[1]]
+    loose = hashlog.read(spark, log(HEAD, line(H256[0], "a"), line(H1, "b")), guard=False)
+    assert {r["hash"] for r in loose.collect()} == {H256[0], H1}
+    with pytest.raises(ValueError, match="malformed.*nonsense 1"):
+        hashlog.read(spark, log(HEAD, "{nonsense 1", "{nonsense 2", line(H256[0], "a")))
     with pytest.raises(ValueError, match="no header"):
         hashlog.read(spark, log(""))
 
 
+@pytest.mark.parametrize("change", [{k: "-"} for k in ("file_type", "modified", "size", "hash", "path", "children")] + [{"file_type": "Door"}, {"hash": "SHA256:zz"}, {"hash": "SHA256:00"}, {"hash": "MD5:00"}, {"children": ["SHA256:0"]}, {"modified": "x"}, {"path": {"path": [{"path": None, "target": "File"}]}}])
+def test_a_line_that_lacks_something_is_malformed(spark, log, change):
+    with pytest.raises(ValueError, match="malformed"):
+        hashlog.read(spark, log(HEAD, line(H256[0], "a", **change), line(H256[1], "b")))
+
+
+def test_hashes_are_read_in_canonical_form(spark, log):
+    got = hashlog.read(spark, log(HEAD, line("sha256:" + "AB" * 32, "a"), line(H256[0], "d", "Directory", children=["Sha256:" + "CD" * 32, "null:"]))).orderBy("ord").collect()
+    assert got[0]["hash"] == "SHA256:" + "ab" * 32 and got[1]["children"] == ["SHA256:" + "cd" * 32, "NULL:00"]
+
+
+def test_overwriting_leaves_nothing_behind(spark, tree, tmp_path):
+    path, f = str(tmp_path / "log"), os.path.join(tree, "t/f")
+    for k, how in enumerate(({}, {"noclean": True}, {"overwrite": True})):
+        with open(f, "w") as out:
+            out.write("x" * (3 + 3 * k))
+        commands.resume(spark, "t", path, tree, **how)
+    assert by_path(incremental.keep_last(hashlog.read(spark, path)))["t/f"]["size"] == 9
+    assert sorted(x for x in os.listdir(path) if not x.startswith(".")) == ["0-header", "1-records"] and not [x for x in os.listdir(tmp_path) if x.endswith((".new", ".old"))]
+
+
+def test_a_replacement_that_was_broken_off(spark, tree, tmp_path):
+    path = str(tmp_path / "log")
+    now = commands.build_tree(spark, "t/b", tree)
+    n = now.count()
+    hashlog.write(now, path, "SHA256", created=1)
+    hashlog.write(now, path + "2", "SHA256", created=2)
+    one = lambda: (hashlog.settle(spark, path), hashlog.read_header(spark, path)["creation_date"], hashlog.read(spark, path).count())[1:]
+    os.rename(path + "2", path + ".new")  # written, not yet in its place
+    assert one() == (1, n)
+    hashlog.write(now, path + "2", "SHA256", created=2)
+    os.rename(path, path + ".old")
+    os.rename(path + "2", path + ".new")  # between the two moves
+    assert one() == (2, n)
+    os.rename(path, path + ".old")
+    os.makedirs(path + ".new/1-records")  # the new one never got its header
+    assert one() == (2, n) and sorted(os.listdir(tmp_path / "log"))[-2:] == ["0-header", "1-records"]
+
+
+def test_a_log_may_be_rewritten_from_itself(spark, tree, tmp_path):
+    path = str(tmp_path / "log")
+    hashlog.write(commands.build_tree(spark, "t", tree), path, "SHA256")
+    n = hashlog.read(spark, path).count()
+    hashlog.write(hashlog.read(spark, path).where("path <> 't/f'"), path, "SHA256", "overwrite")
+    assert hashlog.read(spark, path).count() == n - 1
+
+
+def test_one_listing_a_build(spark, tree, monkeypatch):
+    seen, scan = [], fstree.scan
+    real = fstree.hash_files
+
+    def late(files, *how):
+        os.remove(os.path.join(tree, "t/f"))  # between the listing and the hashing
+        return real(files, *how)
+
+    monkeypatch.setattr(fstree, "scan", lambda *a: seen.append(a) or scan(*a))
+    monkeypatch.setattr(fstree, "hash_files", late)
+    got = by_path(commands.build_tree(spark, "t", tree))
+    assert len(seen) == 1 and (got["t/f"]["file_type"], got["t/f"]["hash"], got["t/f"]["modified"]) == ("Other", "NULL:00", 0) and got["t"]["size"] == 8
+
+
+def test_what_cannot_be_looked_at_stays(spark, tree):
+    seen = spark.createDataFrame([("t/f", "Other", None), ("t/gone", "Other", None), ("t/b", "Directory", 5), ("t/dangling", "Symlink", 6), ("t/link", "Symlink", 7)], "path string, file_type string, inode long")
+    live = commands.live_types(seen, tree)
+    assert {tuple(r) for r in live.collect()} == {("t/f", None), ("t/b", "Directory"), ("t/link", "Symlink")}
+    recs = spark.createDataFrame([(1, "t/f", "File"), (2, "t/gone", "File"), (3, "t/b", "File")], "ord long, path string, file_type string")
+    assert [r["path"] for r in cleaning.clean(recs, live).collect()] == ["t/f"]
+
+
+def test_unreadable_directory_has_no_entries(tmp_path, monkeypatch):
+    reader = fstree._Reader({"base": str(tmp_path)})
+    (tmp_path / "d").mkdir()
+    assert reader._names("nowhere") == [] and reader._names("") == ["d"]
+    assert fstree._node(str(tmp_path), "gone", False)[0][:4] == ("gone", "Other", 0, 0)
+
+
+def test_file_identity(spark, tree):
+    os.link(os.path.join(tree, "t/f"), os.path.join(tree, "t/hard"))
+    rows = {r["path"]: r["i"] for r in fstree.scan(spark, tree, "t").select("path", fstree.file_identity(F.col("inode"), F.col("device")).alias("i")).collect()}
+    assert rows["t/f"] == rows["t/hard"] != rows["t/z"]
+
+
+def test_scratch_is_swept(spark):
+    s = scratch.Scratch(spark, "swept")
+    s.store(spark.range(3), "x")
+    assert os.path.isdir(s.top.removeprefix("file:"))
+    others = [x for x in scratch._left if s.top not in x[1].toString()]
+    scratch._left[:] = [x for x in scratch._left if s.top in x[1].toString()]
+    scratch._sweep()
+    scratch._left[:] = others
+    assert not os.path.exists(s.top.removeprefix("file:"))
+
+
 def test_clean_filters_before_it_keeps_the_last(spark):
     recs = spark.createDataFrame([(1, "a", "File"), (2, "a", "Symlink"), (3, "b", "File"), (4, "x/c", "File"), (5, "d", "File")], "ord long, path string, file_type string")
     live = spark.createDataFrame([("a", "File"), ("x/c", "File"), ("d", None)], "path string, file_type string")
@@ -158,6 +264,12 @@ def test_stream(spark, tree, tmp_path):
     assert spark.table("tailed").count() == now.count()
 
 
+def test_stream_stops_at_a_malformed_line(spark, log, tmp_path):
+    q = tail(spark, log(HEAD, line(H256[0], "a"), line("SHA256:zz", "b"))).writeStream.format("memory").queryName("bad_tail").trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="malformed line"):
+        q.awaitTermination(120)
+
+
 def test_virtual_tree(spark):
     df = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "id long, text string")
     recs = tables.from_table(df, F.concat(F.lit("d/"), (F.col("id") % 2).cast("string"), F.lit("/"), F.col("id").cast("string")), F.col("text"))

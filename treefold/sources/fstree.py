@@ -117,40 +117,35 @@ def scan(spark: SparkSession, base: str, root: str = "", follow_symlinks: bool =
 
 
 def hash_files(files: DataFrame, base: str, algorithm: str = "SHA256") -> DataFrame:
-    """File rows with `hash` and the byte count that was read as `size`; an unreadable file becomes Other."""
+    """File rows (path, file_type, modified, size) with `hash` and the byte count that was read as `size`; an unreadable
+    file becomes Other. Rows pass through once; no join, and no second look at the tree."""
     algorithm = hashing.parse_algorithm(algorithm)
     base = os.path.abspath(base)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = hashing.hasher(algorithm)
 
-        def one(path: str) -> tuple:
+        def one(path: str, size: int) -> tuple:
+            if algorithm == "NULL":
+                return hashing.NULL_HASH, size
+            h, n = make(), 0
             try:
-                if algorithm == "NULL":
-                    return hashing.NULL_HASH, None
-                h, n = make(), 0
                 with open(os.path.join(base, path) if path else base, "rb") as f:
                     while chunk := f.read(CHUNK):
                         h.update(chunk)
                         n += len(chunk)
-                return f"{algorithm}:{h.hexdigest()}", n
             except OSError:
-                return None, None
+                return None, 0
+            return f"{algorithm}:{h.hexdigest()}", n
 
         for pdf in batches:
-            got = [one(p) for p in pdf["path"]]
-            yield pd.DataFrame({"path": pdf["path"], "hash": [g[0] for g in got], "n": pd.array([g[1] for g in got], dtype="Int64")})
-
-    done = files.select("path").mapInPandas(run, "path string, hash string, n long")
-    out = files.join(done, "path")
-    bad = F.col("hash").isNull()
-    return out.select(
-        "path",
-        F.when(bad, F.lit(OTHER)).otherwise(F.col("file_type")).alias("file_type"),
-        F.when(bad, F.lit(0)).otherwise(F.col("modified")).cast("long").alias("modified"),
-        F.when(bad, F.lit(0)).otherwise(F.coalesce("n", "size")).cast("long").alias("size"),
-        F.coalesce("hash", F.lit(hashing.NULL_HASH)).alias("hash"),
-    )
+            pdf["hash"], pdf["size"] = zip(*[one(p, n) for p, n in zip(pdf["path"], pdf["size"])]) if len(pdf) else ([], [])
+            bad = pdf["hash"].isna()
+            pdf.loc[bad, ["file_type", "modified", "hash"]] = OTHER, 0, hashing.NULL_HASH
+            yield pdf
+
+    rows = files.select("path", "file_type", "modified", "size")
+    return rows.mapInPandas(run, "path string, file_type string, modified long, size long, hash string")
 
 
 def file_identity(inode: Column, device: Column) -> Column:
