@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from treefold.functions import hashing, paths
+from treefold.plans import queries
 
 HELLO = "Hello, world!"
 
@@ -57,6 +58,18 @@ def test_paths(spark):
     raw = ["a//b/", "./a/./b/.", "/", "//", ".", "a/../b", "a/././b"]
     assert one(spark, *[paths.normalize(F.lit(x)) for x in raw]) == ("a/b", "a/b", "/", "/", "", "a/../b", "a/b")
     assert one(spark, *[paths.depth(F.lit(x)) for x in ("", "/", "a", "/a/b", "a/b/c")]) == (0, 0, 1, 2, 3)
+    assert one(spark, *[paths.parent(F.lit(x)) for x in ("a/", "/a/", "//", "a\nb/c", "/a/b", "a//b")]) == ("a", "/a", "/", "a\nb", "/a", "a/")
+    two = paths.wrap(F.lit("a.tar"), F.lit("b"))
+    assert one(spark, paths.display(two), hashing.components_digest(two, "SHA256")) == ("a.tar| b", "SHA256:" + hashlib.sha256(b"a.tarb").hexdigest())
     w = paths.wrap(F.lit("a/b"))
     assert one(spark, paths.unwrap(w), paths.display(w)) == ("a/b", "a/b")
     assert paths.lexical_absolute("/a/b/../c") == "/a/c"
+
+
+def test_every_algorithm_row_by_row(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    make = {"SHA512": hashlib.sha512, "SHA256": hashlib.sha256, "SHA1": hashlib.sha1, "XXH64": xxhash.xxh64, "XXH32": xxhash.xxh32}
+    text = {f"docs/{r['doc_id']}": r["text"].encode() for r in docs.collect()}
+    for name, f in make.items():
+        got = queries.Q[f"leaf_{name.lower()}"](spark, "/root/testdata/sf0.001").collect()
+        assert len(got) == len(text) and all(r["hash"] == f"{name}:{f(text[r['path']]).hexdigest()}" and r["size"] == len(text[r["path"]]) for r in got)

@@ -21,12 +21,8 @@ def normalize(path: Column) -> Column:
 
 def parent(path: Column) -> Column:
     """The parent's path: ``""`` for one component, null for ``""`` and ``/``."""
-    return (
-        F.when((path == "") | (path == "/"), F.lit(None).cast("string"))
-        .when(F.instr(path, "/") == 0, F.lit(""))
-        .when(F.regexp_like(path, F.lit("^/[^/]+$")), F.lit("/"))
-        .otherwise(F.regexp_extract(path, "^(.*)/[^/]*$", 1))
-    )
+    bare = F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1  # up to the last separator
+    return F.when((path == "") | (path == "/"), F.lit(None).cast("string")).when(F.instr(path, "/") == 0, F.lit("")).when(bare == 0, F.lit("/")).otherwise(F.left(path, bare))
 
 
 def child(path: Column, name: Column) -> Column:
@@ -45,9 +41,9 @@ def is_under(path: Column, root: str) -> Column:
     return F.lit(True) if not root else (path == root) | path.startswith(f"{root}/")
 
 
-def wrap(path: Column) -> Column:
+def wrap(*components: Column) -> Column:
     """The logical path of the record log: a list of components, of which only real files exist."""
-    return F.struct(F.array(F.struct(path.alias("path"), F.lit("File").alias("target"))).alias("path"))
+    return F.struct(F.array(*[F.struct(c.alias("path"), F.lit("File").alias("target")) for c in components]).alias("path"))
 
 
 def unwrap(path: Column) -> Column:
