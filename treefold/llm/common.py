@@ -3,48 +3,16 @@
 from __future__ import annotations
 
 import gc
-import os
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treefold.operators.merkle import checkpoint_dir
+from treefold.operators.scratch import Scratch, free, located  # noqa: F401
 
 #: The white space between words, as the contracts give it.
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
 
 
-class Scratch:
-    """Tables written to the folder that driver and executors share. A written table cuts the lineage and survives lost
-    executors; drop() frees its disk as soon as nothing reads it any more."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.top = spark, os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-    def path(self, name: str) -> str:
-        return os.path.join(self.top, name)
-
-    def store(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.load(name, df)
-
-    def load(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        for path in [self.path(n) for n in names] or [self.top]:
-            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        free(self.spark)
-
-
-def free(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished steps now rather than at its next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
