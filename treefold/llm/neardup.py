@@ -102,31 +102,46 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
+def rooted(parents: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """parents (b, a), where a < b and each b stands once, to node, comp: the root of each tree, by pointer jumping. The side
+    of a join that has each key once is stored, so that Spark can split the other side's rows of a node with many children."""
+    now, step = scratch.store(parents.select("b", "a", F.lit(True).alias("moved")), f"{name}-p0"), 0
+    while now.where("moved").limit(1).count():
+        up = now.select(F.col("b").alias("a"), F.col("a").alias("c"))
+        far = now.drop("moved").join(up, "a", "left").select("b", F.coalesce("c", "a").alias("a"), F.col("c").isNotNull().alias("moved"))
+        now, step = scratch.store(far, f"{name}-p{step + 1}"), step + 1
+        scratch.drop(f"{name}-p{step - 1}", collect=False)
+    return now.select(F.col("b").alias("node"), F.col("a").alias("comp")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node, comp (the least node reachable) for all nodes of the edges (a, b), by alternating large and small stars.
+    """node, comp (the least node reachable) for all nodes of the edges (a, b).
 
-    Stars are taken with aggregates and joins, and the aggregated side of each join is stored, so that Spark can split the
-    rows of a node with many neighbours. An unchanged count and hash of all edges end it.
+    Every node hooks onto its least smaller neighbour, trees are contracted to their roots, and so on with the edges that are
+    left between different roots. Nothing about a node with many neighbours is gathered in one place.
     """
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
-
-    now = scratch.store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-e0")
-    before, step = state(now), 0
-    while before[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), f"{name}-m{step}")
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # neighbours above go to the least
-        large = scratch.store(large.distinct(), f"{name}-l{step}")
-        least = scratch.store(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-s{step}")
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = scratch.store(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-e{step + 1}")
-        scratch.drop(f"{name}-m{step}", f"{name}-l{step}", f"{name}-s{step}", f"{name}-e{step}")
-        now, step, old, before = small, step + 1, before, state(small)
-        if before == old:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    def stored(u: str, v: str, of: DataFrame, step: int) -> DataFrame:
+        pairs = of.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
+        return scratch.store(pairs, f"{name}-e{step}")
+
+    now, step = stored("a", "b", edges, 0), 0
+    found = now.select(F.col("u").alias("node")).unionByName(now.select(F.col("v").alias("node"))).distinct().withColumn("comp", F.col("node"))
+    found = scratch.store(found, f"{name}-f0")
+    while now.limit(1).count():
+        roots = rooted(now.groupBy("u").agg(F.min("v").alias("a")).select(F.col("u").alias("b"), "a"), scratch, f"{name}-{step}")
+        roots = scratch.store(roots, f"{name}-r{step}")
+
+        def at_root(df: DataFrame, x: str) -> DataFrame:  # a node that is nobody's least neighbour, and has none, is its own root
+            own = roots.select(F.col("node").alias(x), F.col("comp").alias("_root"))  # noqa: B023
+            return df.join(own, x, "left").withColumn(x, F.coalesce("_root", x)).drop("_root")
+
+        now = stored("u", "v", at_root(at_root(now, "u"), "v"), step + 1)
+        found = scratch.store(at_root(found, "comp"), f"{name}-f{step + 1}")
+        scratch.drop(*[f"{name}-{x}{step}" for x in "efr"], collect=False)
+        step += 1
+    free(scratch.spark)
+    return found
 
 
 def link(nodes: DataFrame, docs: DataFrame, scratch: Scratch, key: str, text: str, size: int, matches: int, percent: int) -> DataFrame:
@@ -140,7 +155,7 @@ def link(nodes: DataFrame, docs: DataFrame, scratch: Scratch, key: str, text: st
     scratch.drop("often")
     alone = scratch.store(lists.groupBy("k").agg(F.count("*").alias("f")).where("f >= 2").select("k"), "several")
     lists = scratch.store(lists.join(alone, "k").join(nodes.select("sid", "n"), "sid"), "lists")
-    scratch.drop("prefix", "several")
+    scratch.drop("prefix", "several", collect=False)
     # every member meets the pivot it collides with most, of the pivots of its lists
     pivot = scratch.store(lists.groupBy("k").agg(F.min(F.struct("sid", "n")).alias("p")).select("k", F.col("p.sid").alias("p"), F.col("p.n").alias("m")), "pivots")
     fit = (F.col("sid") != F.col("p")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
@@ -148,27 +163,29 @@ def link(nodes: DataFrame, docs: DataFrame, scratch: Scratch, key: str, text: st
     both = met.join(nodes.select("sid", F.col("sig").alias("x")), "sid").join(nodes.select(F.col("sid").alias("p"), F.col("sig").alias("y")), "p")
     hits = both.select("sid", "p", F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda z: z)).alias("hits")).where(F.col("hits") >= matches)
     best = scratch.store(hits.groupBy("sid").agg(F.max(F.struct("hits", "p")).alias("z")).select(F.col("sid").alias("b"), F.col("z.p").alias("a")), "pairs")
-    scratch.drop("pivots")
+    scratch.drop("pivots", collect=False)
     wanted = best.select(F.col("a").alias("sid")).unionByName(best.select(F.col("b").alias("sid"))).distinct()
     texts = scratch.store(_texts(wanted, nodes, docs, key, text), "texts")
     edges = scratch.store(confirm(best, texts, size, percent).where("linked").select("a", "b"), "edges")
     scratch.drop("texts", "pairs")
-    comp = scratch.store(components(edges, scratch, "cc"), "comp")
+    # each has one pivot, which is less: these are trees
+    comp = scratch.store(rooted(edges.select("a", "b"), scratch, "trees"), "comp")
     # lists whose members are in several components still need their members compared
     near = lists.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("comp", "sid")).drop("comp")
     near = scratch.store(near, "near")
     mixed = scratch.store(near.groupBy("k").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("k"), "mixed")
     opened = scratch.store(near.join(mixed, "k"), "open")
-    scratch.drop("lists", "near", "mixed")
+    scratch.drop("lists", "near", "mixed", collect=False)
     candidates = scratch.store(collide(opened, nodes, scratch, matches, percent), "candidates")
     if candidates.limit(1).count():
         group = components(candidates, scratch, "groups").select(F.col("node").alias("sid"), F.col("comp").alias("g"))
         members = scratch.store(opened.select("sid", "n", "c").distinct().join(group, "sid"), "members")
         texts = scratch.store(_texts(members.select("sid"), nodes, docs, key, text), "texts")
-        more = scratch.store(compare(members, texts, size, percent), "more")
-        comp = scratch.store(components(edges.unionByName(more), scratch, "all"), "linked")
-        scratch.drop("members", "texts", "more", "comp")
-    scratch.drop("open", "candidates", "edges")
+        more = scratch.store(compare(members, texts, scratch, size, percent), "more")
+        if more.limit(1).count():
+            comp = scratch.store(components(edges.unionByName(more), scratch, "all"), "linked")
+        scratch.drop("members", "texts", "more")
+    scratch.drop("open", "once", "listed", "k-shape", "g-shape", "candidates", "edges", collect=False)
     return comp.withColumnRenamed("node", "sid")
 
 
@@ -178,20 +195,33 @@ def _texts(sids: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: s
     return docs.join(wanted, F.col(key).eqNullSafe(F.col("_treefold_k")) & (F.col(TAG) == F.col("_treefold_t"))).select("sid", F.col(text).alias("text")).dropDuplicates(["sid"])
 
 
-def dealt(members: DataFrame, by: str, block_rows: int, block_shingles: int | None = None) -> DataFrame:
+def dealt(members: DataFrame, scratch: Scratch, by: str, block_rows: int, block_shingles: int | None = None) -> DataFrame:
     """members (by, sid, n, c) of each group dealt to pairs of blocks of bounded size, so that any two members of different
-    components c meet in one: by, i, j, asks, sid, n, c. Of a group's largest component no two members meet."""
+    components c meet in one: by, i, j, bin, asks, sid, n, c. Of a group's largest component no two members meet. Groups of
+    one block share bins of about `block_rows` members; blocks of others have a bin each, numbered below 0."""
     each = members.groupBy(by, "c").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     total = each.groupBy(by).agg(F.max(F.struct("m", "c", "s")).alias("z"), F.sum("m").alias("m"), F.sum("s").alias("s"))
     many = lambda m, s: F.greatest(F.ceil(m / block_rows), F.ceil(s / block_shingles) if block_shingles else F.lit(1)).cast("int")
-    shape = total.select(by, F.col("z.c").alias("main"), many(F.col("m") - F.col("z.m"), F.col("s") - F.col("z.s")).alias("p"), many(F.col("m"), F.col("s")).alias("q"))
-    rows = members.join(shape, by)
+    shape = total.select(by, F.col("z.c").alias("main"), "m", "s", many(F.col("m") - F.col("z.m"), F.col("s") - F.col("z.s")).alias("p"), many(F.col("m"), F.col("s")).alias("q"))
+    shape = scratch.store(shape, f"{by}-shape")  # so that Spark can split the members of a large group
+    small = shape.where("p = 1 and q = 1").agg(F.sum("m").alias("m"), F.sum("s").alias("s")).first()
+    bins = max(1, -(-(small["m"] or 0) // block_rows), -(-(small["s"] or 0) // block_shingles) if block_shingles else 1)
+    rows = members.join(shape.drop("m", "s"), by)
     own = lambda salt, n: F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(n)).cast("int")
-    left = rows.where("c <> main").select(by, own(1, "p").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(True).alias("asks"), "sid", "n", "c")
-    right = rows.select(by, F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), own(2, "q").alias("j"), F.lit(False).alias("asks"), "sid", "n", "c")
+    whole = F.when((F.col("p") == 1) & (F.col("q") == 1), F.pmod(F.xxhash64(by), F.lit(bins))).otherwise(-1 - F.col(by).bitwiseAND((1 << 62) - 1))
+    left = rows.where("c <> main").select(by, own(1, "p").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), whole.alias("bin"), F.lit(True).alias("asks"), "sid", "n", "c")
+    right = rows.select(by, F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), own(2, "q").alias("j"), whole.alias("bin"), F.lit(False).alias("asks"), "sid", "n", "c")
     return left.unionByName(right)
 
 
+def blocks(pdf: pd.DataFrame, by: str) -> Iterator[pd.DataFrame]:
+    """The groups in a bin."""
+    pdf = pdf.sort_values(by, kind="stable")
+    edges = np.flatnonzero(np.diff(pdf[by].to_numpy())) + 1
+    for a, b in zip([0, *edges], [*edges, len(pdf)]):
+        yield pdf.iloc[a:b]
+
+
 def forest(pairs: Iterator[tuple[int, int]], sid: np.ndarray, names: np.ndarray) -> pd.DataFrame:
     """Of pairs of positions those that join two names not yet joined: a, b (of sid)."""
     top, edges = {}, []
@@ -217,42 +247,58 @@ def collide(opened: DataFrame, nodes: DataFrame, scratch: Scratch, matches: int,
     bits = lambda salt: F.bit_xor(F.xxhash64("sid", F.lit(salt)))
     once = opened.groupBy("k").agg(F.count("*").alias("f"), bits(1).alias("x"), bits(2).alias("y")).groupBy("f", "x", "y").agg(F.min("k").alias("k")).select("k")
     members = scratch.store(opened.join(scratch.store(once, "once"), "k"), "listed")
-    work = dealt(members, "k", block_rows).join(nodes.select("sid", "sig"), "sid")
+    work = dealt(members, scratch, "k", block_rows).join(nodes.select("sid", "sig"), "sid")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, asks = np.stack(pdf["sig"].to_numpy()), pdf["asks"].to_numpy()
-        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k", kind="stable")
+        sig, asks, k = np.stack(pdf["sig"].to_numpy()), pdf["asks"].to_numpy(), pdf["k"].to_numpy()
         sid, n, c = (pdf[x].to_numpy() for x in ("sid", "n", "c"))
-        return forest(colliding(sig, n, c, left, right, matches, percent), sid, sid)
+        edges = np.flatnonzero(np.diff(k)) + 1
+        lists = [(a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])) for a, b in zip([0, *edges], [*edges, len(k)])]
+        return forest(colliding(sig, n, c, lists, matches, percent), sid, sid)
 
-    return work.groupBy("k", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return work.groupBy("bin", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
-def colliding(sig: np.ndarray, n: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray, matches: int, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs from left and right whose signatures collide often enough, of different components, of sizes that may link."""
-    same = np.zeros((len(left), len(right)), np.int32)
-    for at in range(sig.shape[1]):
-        same += sig[left, at][:, None] == sig[right, at][None, :]
-    a, b = n[left][:, None], n[right][None, :]
-    ok = (same >= matches) & (c[left][:, None] != c[right][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-    for x, y in zip(*np.nonzero(ok)):
-        yield left[x], right[y]
+def colliding(sig: np.ndarray, n: np.ndarray, c: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], matches: int, percent: int, at_once: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Pairs from the two sides of each list whose signatures collide often enough, of different components, of sizes that
+    may link. They are looked at `at_once`."""
+    pending: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def checked() -> Iterator[tuple[int, int]]:
+        x, y = (np.concatenate(z) for z in zip(*pending)) if pending else (np.empty(0, np.int64),) * 2
+        keep = (c[x] != c[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[keep], y[keep]
+        for i in range(0, len(x), at_once):
+            a, b = x[i : i + at_once], y[i : i + at_once]
+            yield from zip(*(z[(sig[a] == sig[b]).sum(axis=1) >= matches].tolist() for z in (a, b)))
+
+    size = 0
+    for left, right in lists:
+        pending.append((np.repeat(left, len(right)), np.tile(right, len(left))))
+        size += len(left) * len(right)
+        if size >= at_once:
+            yield from checked()
+            pending, size = [], 0
+    yield from checked()
 
 
-def compare(members: DataFrame, texts: DataFrame, size: int, percent: int, block_rows: int = 400, block_shingles: int = 300_000) -> DataFrame:
+def compare(members: DataFrame, texts: DataFrame, scratch: Scratch, size: int, percent: int, block_rows: int = 400, block_shingles: int = 300_000) -> DataFrame:
     """members (sid, n, c, g) to edges a, b that join the components c of each group g wherever any two members link.
 
     Groups are dealt by hash to blocks of bounded size, and each pair of blocks is one task's work. Their intersections
     are products of 0/1 matrices over the shingles that occur twice. Of all links only a spanning forest is returned.
     """
-    work = dealt(members, "g", block_rows, block_shingles).join(texts, "sid")
+    work = dealt(members, scratch, "g", block_rows, block_shingles).join(texts, "sid")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found, asks = [shingles(x, size) for x in pdf["text"]], pdf["asks"].to_numpy()
-        pairs = linked_pairs(found, np.flatnonzero(asks), np.flatnonzero(~asks), percent)
-        return forest(pairs, pdf["sid"].to_numpy(), pdf["c"].to_numpy())
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for one in blocks(pdf, "g"):
+            found, asks = [shingles(x, size) for x in one["text"]], one["asks"].to_numpy()
+            out.append(forest(linked_pairs(found, np.flatnonzero(asks), np.flatnonzero(~asks), percent), one["sid"].to_numpy(), one["c"].to_numpy()))
+        return pd.concat(out)
 
-    return work.groupBy("g", "i", "j").applyInPandas(run, "a long, b long")
+    return work.groupBy("bin", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def linked_pairs(found: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, width: int = 4096) -> Iterator[tuple[int, int]]:
