@@ -9,11 +9,11 @@ windows with one minimizer form a region, posted as one row: (fp, body, key, fir
 64-bit hash of the minimizer and body a 64-bit hash of all the region's words, made from other word hashes than fp. That
 is about a row for 14 words.
 
-The index is a log of immutable runs, each sorted by fp with one row a fingerprint. The documents of one call come in
-`batches` batches by hash; a batch's run is merge-joined with every older run on fp, and runs are merged when `fan` of
-them are of one size. Matches are verified once, after the last batch, on the postings kept beside the index. Runs hold
-(fp, n), no postings, and the index is closed at the end of the call: a new batch can't be deduplicated against earlier
-calls, and with as many batches as `fan` the merged run is never read.
+The index is a log of immutable runs, each sorted by fp with one row a fingerprint: (fp, n). A batch's run is merge-joined
+with every older run on fp, the matches are verified on the postings, which are kept beside the runs, and runs are merged
+when `fan` of them are of one size. extend() keeps such an index on disk and deduplicates each new batch against all earlier
+ones. mark() and remove() judge one table as a whole: it comes in `batches` batches by hash, and since every batch's
+documents are judged by all the others, their matches are verified together, after the last one.
 
 Regions with equal fp and body are equal as a whole: their words have the same independent hash, their minimizers another.
 Regions that share only fp are opened: their windows are compared by two independent 64-bit hashes, one copy of each different body only, so that a group of copies is compared once.
@@ -25,6 +25,8 @@ documents. An empty table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treefold.llm.common import Scratch, free, held, only, shuffle_partitions
+from treefold.llm.common import Scratch, free, held, located, only, shuffle_partitions
 
 #: Odd multipliers for hashing.
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -171,12 +173,48 @@ def post(df: DataFrame, key: str, text: str, window: int, gram: int) -> DataFram
 class Index:
     """Sorted immutable runs of (fp, n), bucketed by fp, with one row a fingerprint, so that one that occurs very often
     is counted before it is shuffled and is one row of a bucket. Joins of runs need no shuffle. The postings stay beside
-    the index in the order in which they were made."""
+    the index in the order in which they were made.
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int, fan: int = 3):
-        self.spark, self.scratch, self.buckets, self.fan = spark, scratch, buckets, fan
+    Everything lies in the folder of `scratch`. save() makes the state last by one more manifest; until then, what was
+    added since isn't part of the index, and open() removes it.
+    """
+
+    def __init__(self, scratch: Scratch, buckets: int, fan: int = 3):
+        self.spark, self.scratch, self.buckets, self.fan = scratch.spark, scratch, buckets, fan
         self.runs: list[tuple[str, int]] = []
-        self.made: list[DataFrame] = []
+        self.made: list[str] = []
+        self.gone: list[str] = []  # runs that were merged into others
+        self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, buckets: int, fan: int, **settings) -> Index:
+        """The index kept at path, or an empty one. Its settings, such as the window, must be those it was made with."""
+        found = cls(Folder(spark, path), buckets, fan)
+        names = found.scratch.names()
+        saved = [int(n.split("-")[1]) for n in names if n.startswith("manifest-") and "_SUCCESS" in found.scratch.names(n)]
+        if saved:
+            found.version = max(saved)
+            state = json.loads(spark.read.text(found.scratch.path(f"manifest-{found.version}")).first()[0])
+            if state["settings"] != settings:
+                raise ValueError(f"{path} was made with {state['settings']}, not {settings}")
+            found.buckets, found.runs, found.made = state["buckets"], [tuple(r) for r in state["runs"]], state["made"]
+            for name, _ in found.runs:
+                place = found.scratch.path(name).replace("'", "\\'")
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (fp BIGINT, n BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {found.buckets} BUCKETS LOCATION '{place}'")
+        found.settings = settings
+        stay = {f"manifest-{found.version}", *found.made, *[n for n, _ in found.runs]}
+        if left := [n for n in names if n not in stay]:
+            found.scratch.drop(*left)
+        return found
+
+    def save(self) -> None:
+        self.version += 1
+        state = json.dumps({"settings": self.settings, "buckets": self.buckets, "runs": self.runs, "made": self.made})
+        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.text(self.scratch.path(f"manifest-{self.version}"))
+        for name in self.gone:
+            self.remove(name)
+        self.gone = []
+        self.scratch.drop(f"manifest-{self.version - 1}")
 
     def write(self, counts: DataFrame, tier: int) -> str:
         name = f"run_{uuid.uuid4().hex}"
@@ -187,17 +225,16 @@ class Index:
     def remove(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.scratch.drop(name)
-        self.runs = [r for r in self.runs if r[0] != name]
 
     def add(self, postings: DataFrame) -> DataFrame:
         """Takes in a batch. Returns the fps that the batch shares with itself or with any older run."""
-        older, k = [n for n, _ in self.runs], len(self.made)
-        self.made.append(self.scratch.store(postings, f"postings{k}"))
-        new = self.spark.table(self.write(self.made[k].groupBy("fp").agg(F.count("*").alias("n")), 0))
+        older, name = [n for n, _ in self.runs], f"postings_{uuid.uuid4().hex}"
+        made = self.scratch.store(postings, name)
+        self.made.append(name)
+        new = self.spark.table(self.write(made.groupBy("fp").agg(F.count("*").alias("n")), 0))
         shared = new.where("n >= 2").select("fp")
         for name in older:
             shared = shared.unionByName(new.select("fp").join(self.spark.table(name).select("fp"), "fp", "left_semi"))
-        shared = self.scratch.store(shared, f"shared{k}")
         free(self.spark)
         return shared
 
@@ -209,21 +246,29 @@ class Index:
             for n in names[1:]:
                 merged = merged.unionByName(self.spark.table(n))
             self.write(merged.groupBy("fp").agg(F.sum("n").alias("n")), full[0] + 1)
-            for n in names:
-                self.remove(n)
-
-    def postings(self) -> DataFrame:
-        """All postings taken in."""
-        out = self.made[0]
-        for x in self.made[1:]:
-            out = out.unionByName(x)
-        return out
+            self.runs = [r for r in self.runs if r[0] not in names]
+            self.gone += names
+
+    def postings(self, since: int = 0) -> DataFrame:
+        """The postings taken in, all or those from a batch on."""
+        return self.spark.read.parquet(*[self.scratch.path(n) for n in self.made[since:]])
 
     def close(self) -> None:
-        for n, _ in list(self.runs):
+        """Ends an index that isn't kept."""
+        for n in [*self.gone, *[n for n, _ in self.runs]]:
             self.remove(n)
-        for k in range(len(self.made)):
-            self.scratch.drop(f"postings{k}", f"shared{k}")
+        self.scratch.drop(*self.made)
+
+
+class Folder(Scratch):
+    """A folder that is kept."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.top = spark, path
+
+    def names(self, below: str = "") -> list[str]:
+        fs, p = located(self.spark, os.path.join(self.top, below) if below else self.top)
+        return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def _open(df: DataFrame, opened: DataFrame, key: str, text: str, window: int) -> DataFrame:
@@ -255,31 +300,39 @@ def _by_row(a: DataFrame, b: DataFrame, key: str, how: str) -> DataFrame:
 
 def repeated(df: DataFrame, scratch: Scratch, key: str, text: str, window: int = 35, gram: int = 10, batches: int = 3, fan: int = 3) -> DataFrame:
     """df (tagged) to its repeated windows, by row: the key, the tag, first, windows, js (null: all of them)."""
-    spark = df.sparkSession
-    index = Index(spark, scratch, shuffle_partitions(spark), fan)
-    shared = None
+    index, shared = Index(scratch, shuffle_partitions(df.sparkSession), fan), None
     for k in range(batches):
         batch = df.where(F.pmod(F.xxhash64(key, TAG), F.lit(batches)) == k)
-        found = index.add(post(batch, key, text, window, gram))
+        found = scratch.store(index.add(post(batch, key, text, window, gram)), f"shared{k}")
         shared = found if shared is None else shared.unionByName(found)
         index.compact()
+    every = index.postings()
+    out = verified(every, every, shared, df, scratch, key, text, window)
+    index.close()
+    scratch.drop(*[f"shared{k}" for k in range(batches)])
+    return out
+
+
+def verified(postings: DataFrame, wanted: DataFrame, shared: DataFrame, df: DataFrame, scratch: Scratch, key: str, text: str, window: int) -> DataFrame:
+    """Of the postings `wanted` the windows that occur elsewhere in `postings`: the key, the tag, first, windows, js. Only
+    fingerprints in `shared` are looked at; the texts come from df."""
     # stored, so that Spark may split the other side of the joins where one fingerprint has very many rows
     shared = scratch.store(shared.distinct(), "shared")
-    hits = scratch.store(index.postings().join(shared, "fp", "left_semi"), "hits")
-    index.close()
+    hits = scratch.store(postings.join(shared, "fp", "left_semi"), "hits")
+    mine = hits if wanted is postings else scratch.store(wanted.join(shared, "fp", "left_semi"), "mine")
     bodies = hits.groupBy("fp", "body").agg(F.count("*").alias("n"), F.min(F.struct(key, TAG, "first", "windows")).alias("s"))
     bodies = scratch.store(bodies, "bodies")
     several = scratch.store(bodies.groupBy("fp").count().where("count >= 2").select("fp"), "several")
     opened = bodies.join(several, "fp", "left_semi").select("fp", "body", "s.*")
     windows = scratch.store(_open(df, opened, key, text, window), "windows")
-    free(spark)
+    free(df.sparkSession)
     # a row that stands several times is opened as often, so bodies are counted, not rows
     twice = scratch.store(windows.groupBy("w1", "w2").agg(F.min(F.struct("fp", "body")).alias("a"), F.max(F.struct("fp", "body")).alias("b")).where("a <> b").select("w1", "w2"), "twice")
     some = windows.join(twice, ["w1", "w2"], "left_semi").groupBy("fp", "body").agg(F.sort_array(F.collect_set("j")).alias("js"))
     whole = bodies.where("n >= 2").select("fp", "body", F.lit(None).cast("array<smallint>").alias("js"))
     gone = scratch.store(whole.unionByName(some.join(whole.select("fp", "body"), ["fp", "body"], "left_anti")), "gone")
-    out = scratch.store(hits.join(gone, ["fp", "body"]).select(key, TAG, "first", "windows", "js"), "spans")
-    scratch.drop("shared", "hits", "several", "bodies", "windows", "twice", "gone")
+    out = scratch.store(mine.join(gone, ["fp", "body"]).select(key, TAG, "first", "windows", "js"), "spans")
+    scratch.drop("shared", "hits", "mine", "several", "bodies", "windows", "twice", "gone")
     return out
 
 
@@ -300,9 +353,12 @@ def covered(n: int, spans: list[dict] | None, window: int) -> np.ndarray:
 def _with_spans(df: DataFrame, key: str, text: str, **how) -> tuple[DataFrame, int]:
     rows = tagged(df, key, text)
     scratch = Scratch(df.sparkSession, "substring")
-    spans = repeated(only(rows, key, text, TAG), scratch, key, text, **how)
+    return _beside(rows, repeated(only(rows, key, text, TAG), scratch, key, text, **how), key), how.get("window", 35)
+
+
+def _beside(rows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     per_row = spans.groupBy(key, TAG).agg(F.collect_list(F.struct("first", "windows", "js")).alias(SPANS))
-    return _by_row(rows, per_row, key, "left"), how.get("window", 35)
+    return _by_row(rows, per_row, key, "left")
 
 
 def mark(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -328,6 +384,10 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> Dat
     """All rows and columns; texts without their repeated words. Kept words stay with the white space before them, and a
     text that loses nothing is unchanged."""
     both, window = _with_spans(df, key, text, **how)
+    return _cut(both, df, text, window)
+
+
+def _cut(both: DataFrame, df: DataFrame, text: str, window: int) -> DataFrame:
     columns, at = df.columns, df.columns.index(text)
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,3 +407,27 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> Dat
             yield pa.RecordBatch.from_arrays(cols, names=columns)
 
     return both.select(*columns, SPANS).mapInArrow(run, df.schema)
+
+
+def extend(batch: DataFrame, path: str, history: DataFrame | None, key: str = "doc_id", text: str = "text", window: int = 35, gram: int = 10, fan: int = 3) -> DataFrame:
+    """Incremental deduplication: the rows of a new batch, with all their columns, without the words that a window covers
+    which starts anywhere else in the batch or in what the index at `path` has taken in before.
+
+    history: the documents (key, text, as they came, not as they were cut) of all earlier batches, of which only those that
+    share a fingerprint with the batch are opened; None for the first. Earlier documents don't change. The batch's run is
+    merge-joined with the older runs, its matches are verified, and runs are compacted; then the index is saved, all or
+    nothing. A batch that failed can simply come again.
+    """
+    spark = batch.sparkSession
+    index = Index.open(spark, path, shuffle_partitions(spark), fan, window=window, gram=gram, key=key)
+    scratch, rows = Scratch(spark, "substring"), tagged(batch, key, text)
+    documents = only(rows, key, text, TAG)
+    if history is not None:
+        documents = documents.unionByName(tagged(only(history, key, text), key, text))
+    shared = index.add(post(only(rows, key, text, TAG), key, text, window, gram))
+    spans = verified(index.postings(), index.postings(len(index.made) - 1), shared, documents, scratch, key, text, window)
+    out = scratch.store(_cut(_beside(rows, spans, key), batch, text, window), "cut")
+    index.compact()
+    index.save()
+    scratch.drop("spans")
+    return out
