@@ -4,16 +4,19 @@ A known word counts with its log frequency in each language. An unseen word fall
 place the longest known one, from 4 characters down to 1, each step down at a discount. A text's score is the sum over
 its words, and the result is the likeliest language.
 
-Frequencies are learned from a bounded sample of labelled rows (`fit_rows`); the model holds at most `entries` words and
-n-grams. Both are shared out among the languages, so that a rare one is learned beside one that has nearly all rows: each
-gets an equal part, and what a small one can't fill goes to the others. A language has 32 rows in the sample, or all it
-has, even if that makes more than `fit_rows` together. Prediction reads every whole text and nothing else, and needs no shuffle. Null texts and texts without a letter
+Frequencies are learned from a bounded sample of labelled rows (`fit_rows`, a parameter), and the model holds every word and
+n-gram of it but those of three letters or more, and words, that it saw once only. The sample is shared out among the
+languages, so that a rare one is learned beside one that has nearly all rows: each gets an equal part, and what a small one
+can't fill goes to the others. A language has 32 rows in the sample, or all it has, even if that makes more than `fit_rows`
+together. Prediction reads every whole text and nothing else, and needs no shuffle. The model is broadcast (its size is
+bounded by the sample), and a worker keeps the scores of at most `HELD` chunks. Null texts and texts without a letter
 are `und` with score 0; so is everything when there is nothing to learn from. Repeated rows are predicted each.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,12 +26,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treefold.llm.common import Scratch, only, shares
+from treefold.llm.common import held, only, shares
 from treefold.llm.wordbpe import Cache
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST = 4
 DISCOUNT = 0.7
+#: Chunks whose scores a worker keeps.
+HELD = 500_000
 
 
 def words(text: str) -> list[str]:
@@ -41,23 +46,61 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    def __init__(self, languages: list[str], tables: list[dict[str, np.ndarray]]):
-        """tables[0]: log frequencies of words by language; tables[n]: of n-grams."""
-        self.languages, self.tables = languages, tables
+    def __init__(self, languages: list[str], places: list[dict[str, int]], logs: np.ndarray):
+        """places[0]: rows of words in logs (log frequencies by language); places[n]: those of n-grams."""
+        self.languages, self.places, self.logs, self.name = languages, places, logs, uuid.uuid4().hex
 
     def word(self, w: str) -> np.ndarray:
-        if (known := self.tables[0].get(w)) is not None:
-            return known
-        padded, out = f"^{w}$", np.zeros(len(self.languages))
+        if (known := self.places[0].get(w)) is not None:
+            return self.logs[known]
+        padded, at, step = f"^{w}$", [], []
         for i in range(len(padded)):
-            for n in range(LONGEST, 0, -1):
-                if i + n <= len(padded) and (got := self.tables[n].get(padded[i : i + n])) is not None:
-                    out += got * DISCOUNT ** (LONGEST - n)
+            for n in range(min(LONGEST, len(padded) - i), 0, -1):
+                if (got := self.places[n].get(padded[i : i + n])) is not None:
+                    at.append(got)
+                    step.append(DISCOUNT ** (LONGEST - n))
                     break
-        return out / len(padded)
-
-
-def fit(docs: DataFrame, fit_rows: int = 8000, entries: int = 200_000) -> Model | None:
+        return np.asarray(step) @ self.logs[at] / len(padded) if at else np.zeros(len(self.languages))
+
+
+class Chunks:
+    """Summed scores and the number of words of chunks without white space, made on demand."""
+
+    def __init__(self, model: Model):
+        self.model, self.width = model, len(model.languages)
+        self.rows, self.place = np.zeros((1 << 12, self.width + 1)), Cache(self.add, 1 << 62)
+
+    def add(self, chunk: bytes) -> int:
+        if (at := len(self.place)) == len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        found = words(chunk.decode("utf-8", "replace"))
+        self.rows[at] = 0
+        for w in found:
+            self.rows[at, : self.width] += self.model.word(w)
+        self.rows[at, self.width] = len(found)
+        return at
+
+    def total(self, text: str | None) -> np.ndarray:
+        """The sums over a text. A text's chunks go through in parts, so that a full cache can be emptied in between."""
+        chunks, out = (text or "").encode().split(), np.zeros(self.width + 1)
+        for i in range(0, len(chunks), HELD):
+            if len(self.place) > HELD:
+                self.place.clear()
+            part = chunks[i : i + HELD]
+            at = np.fromiter(map(self.place.__getitem__, part), np.int64, len(part))
+            out += self.rows[at].sum(axis=0)
+        return out
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        total = self.total(text)
+        if not total[self.width]:
+            return "und", 0.0
+        z = total[: self.width] / math.sqrt(total[self.width])
+        best = int(z.argmax())
+        return self.model.languages[best], float(1 / np.exp(z - z[best]).sum())
+
+
+def fit(docs: DataFrame, fit_rows: int = 8000) -> Model | None:
     """docs (doc_id, text, lang) to a model."""
     spark, rows = docs.sparkSession, only(docs, "doc_id", "text", "lang").where("lang is not null and text is not null")
     n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -80,65 +123,32 @@ def fit(docs: DataFrame, fit_rows: int = 8000, entries: int = 200_000) -> Model
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.int32()), pa.array([k[2] for k in out], pa.string()), pa.array(out.values(), pa.int64())], names=["lang", "n", "g", "c"])
 
     counts = rows.select("text", "lang").mapInArrow(count, "lang string, n int, g string, c long").groupBy("lang", "n", "g").agg(F.sum("c").alias("c"))
-    scratch = Scratch(spark, "langid")
-    counts = scratch.store(counts.where("c >= 2 or n < 3"), "counts")
-    found = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
-    room = shares(found, entries)
-    best = counts.where(F.col("lang").isin([x for x in found if room[x] == found[x]])).collect()
-    for x in found:
-        if room[x] < found[x]:
-            best += counts.where(F.col("lang") == x).orderBy(F.desc("c"), "n", "g").limit(room[x]).collect()
-    scratch.drop()
-    if not best:
+    best = counts.where("c >= 2 or n in (1, 2)").toArrow().to_pandas()
+    if not len(best):
         return None
-    languages = sorted({r["lang"] for r in best})
-    number, total = {x: i for i, x in enumerate(languages)}, np.zeros((LONGEST + 1, len(languages)))
-    raw: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    for r in best:
-        raw[r["n"]].setdefault(r["g"], np.zeros(len(languages)))[number[r["lang"]]] += r["c"]
-        total[r["n"], number[r["lang"]]] += r["c"]
-    tables = [{g: np.log((c + 0.1) / (total[n] + 0.1 * len(t))) for g, c in t.items()} for n, t in enumerate(raw)]
-    return Model(languages, tables)
+    languages = sorted(set(best["lang"]))
+    kind, lang = best["n"].to_numpy(), best["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
+    places: list[dict[str, int]] = []
+    for k in range(LONGEST + 1):
+        places.append({g: i for i, g in enumerate(sorted(set(best["g"][kind == k])), sum(map(len, places)))})
+    kinds = np.repeat(np.arange(LONGEST + 1), [len(x) for x in places])
+    seen, total = np.zeros((len(kinds), len(languages))), np.zeros((LONGEST + 1, len(languages)))
+    seen[[places[k][g] for k, g in zip(kind, best["g"])], lang] = best["c"]
+    np.add.at(total, (kind, lang), best["c"])
+    size = np.array([len(x) for x in places])
+    return Model(languages, places, np.log((seen + 0.1) / (total + 0.1 * size[:, None])[kinds]))
 
 
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: the key, lang_pred, score (the chance of that language)."""
     key_type = docs.schema[key].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = len(model.languages) if model else 1
-        rows = np.zeros((1 << 16, width + 1))
-        used = 0
-
-        def add(chunk: bytes) -> int:
-            nonlocal rows, used
-            if used == len(rows):
-                rows = np.concatenate((rows, np.zeros_like(rows)))
-            found = words(chunk.decode("utf-8", "replace"))
-            rows[used] = 0
-            for w in found:
-                rows[used, :width] += model.word(w)
-            rows[used, width] = len(found)
-            used += 1
-            return used - 1
-
-        cache: dict = {}
+        known = sent.value
+        chunks = known and held(("langid", known.name), lambda: Chunks(known))
         for batch in batches:
-            langs, scores = [], []
-            if used > 500_000 or not cache:
-                cache, used = Cache(add, 1 << 62), 0
-            for x in batch.column(1):
-                chunks = (x.as_py() or "").encode().split()
-                at = np.fromiter(map(cache.__getitem__, chunks), np.int64, len(chunks)) if model else []
-                total = rows[at].sum(axis=0) if len(at) else np.zeros(width + 1)  # only now: filling the cache can replace rows
-                if not total[width]:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                z = total[:width] / math.sqrt(total[width])
-                best = int(z.argmax())
-                langs.append(model.languages[best])
-                scores.append(float(1 / np.exp(z - z[best]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[key, "lang_pred", "score"])
+            got = [chunks.predict(x.as_py()) if chunks else ("und", 0.0) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], names=[key, "lang_pred", "score"])
 
     return only(docs, key, text).mapInArrow(run, f"`{key}` {key_type}, lang_pred string, score double")
