@@ -5,7 +5,9 @@ neighbouring labels. Forward-backward gives each line's chance of being good; th
 is the document's quality, mapped to a score by a logistic curve fitted on the same sample, in which both labels count
 as often as among all labelled documents.
 
-Only documents are labelled, so every line of a labelled document is trained with its document's label. The model is
+Only documents are labelled. First every line gets its document's label, and the weights of a line's own features are
+trained alone. The lines of bad documents that these take for good are then called good (unless they take all of a document's
+lines for good), and the whole model is trained on that, so that the table learns how good and bad lines follow each other. It is
 fitted on all lines of a bounded sample of documents (`fit_rows`); the driver holds 13 numbers a line of it. Scoring reads
 every whole text, needs no shuffle, and works through a document's lines in vectors. Null and empty texts are one empty
 line. Without labels of both kinds every score is 0.5. Repeated rows are scored each.
@@ -133,15 +135,37 @@ def forward(z: np.ndarray, fresh: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out.T.reshape(-1)[:n]
 
 
-def train(seqs: list[np.ndarray], y: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood by Adam, from the own features of all lines of each document. Forward-backward runs over the
-    lines of all documents as one chain, without padding, in which a document's first line has no predecessor."""
+def line_odds(own: np.ndarray, fresh: np.ndarray, last: np.ndarray, w: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each line's own log odds of good, and those given all lines up to it and from it on. Lines of all documents are one
+    chain, without padding, in which a document's first line has no predecessor."""
+    z = own @ w[:OWN] + np.where(fresh, 0, np.roll(own @ w[OWN : 2 * OWN], 1)) + np.where(last, 0, np.roll(own @ w[2 * OWN :], -1))
+    return z, forward(z, fresh, table), forward(z[::-1], last[::-1], table.T)[::-1]
+
+
+def chained(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of all documents, which begin and which end one."""
     own, size = np.concatenate(seqs), np.array([len(s) for s in seqs])
     fresh, last = np.zeros(len(own), bool), np.zeros(len(own), bool)
     last[np.cumsum(size) - 1] = True
     fresh[0], fresh[1:] = True, last[:-1]
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))  # both labels weigh the same
-    per_line, label = np.repeat(weight / size, size), np.repeat(y, size)
+    return own, fresh, last
+
+
+def relabelled(seqs: list[np.ndarray], y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A label for each line: its document's, but good for lines of bad documents that are good by their own features, if
+    another line of theirs is bad."""
+    good, doc = np.concatenate(seqs) @ w[:OWN] > 0, np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
+    mixed = np.bincount(doc, ~good, len(seqs)) > 0
+    return np.where(y[doc] == 1, 1, (good & mixed[doc]).astype(np.int64))
+
+
+def train(seqs: list[np.ndarray], y: np.ndarray, label: np.ndarray | None = None, alone: bool = False, steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum likelihood by Adam, from the own features of all lines of each document and its label y. label: of all lines,
+    one after another; their documents' by default. alone: only the weights of a line's own features. Documents of both
+    labels weigh the same, and so do all of one."""
+    (own, fresh, last), size = chained(seqs), np.array([len(s) for s in seqs])
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    per_line, label = np.repeat(weight / size, size), np.repeat(y, size) if label is None else label
     inner = np.flatnonzero(~fresh)  # lines with a predecessor
 
     def earlier(x: np.ndarray) -> np.ndarray:
@@ -150,21 +174,19 @@ def train(seqs: list[np.ndarray], y: np.ndarray, steps: int = 200, rate: float =
     def later(x: np.ndarray) -> np.ndarray:
         return np.where(last, 0, np.roll(x, -1))
 
-    want = np.zeros((2, 2))
-    for k in (0, 1):
-        want[k, k] = per_line[inner][label[inner] == k].sum()
+    want = np.bincount(2 * label[inner - 1] + label[inner], per_line[inner], 4).reshape(2, 2)
     w, table = np.zeros(3 * OWN), np.zeros((2, 2))
     ms, vs = [np.zeros(3 * OWN), np.zeros((2, 2))], [np.zeros(3 * OWN), np.zeros((2, 2))]
     for t in range(1, steps + 1):
-        z = own @ w[:OWN] + earlier(own @ w[OWN : 2 * OWN]) + later(own @ w[2 * OWN :])
-        f = forward(z, fresh, table)
-        b = forward(z[::-1], last[::-1], table.T)[::-1]  # with the line's own odds, as f has them
+        z, f, b = line_odds(own, fresh, last, w, table)  # f and b both with the line's own odds
         gap = (label - 1 / (1 + np.exp(-np.clip(f + b - z, -500, 500)))) * per_line
         grad_w = np.concatenate((gap @ own, later(gap) @ own, earlier(gap) @ own)) - decay * w
         p, q = f[inner - 1], b[inner]
         pair = np.stack((np.full(len(p), table[0, 0]), table[0, 1] + q, table[1, 0] + p, table[1, 1] + p + q))
         pair = np.exp(pair - np.logaddexp.reduce(pair, axis=0))
         grad_t = want - (pair @ per_line[inner]).reshape(2, 2) - decay * table
+        if alone:
+            grad_w[OWN:], grad_t = 0, np.zeros((2, 2))
         for k, (p, g) in enumerate(((w, grad_w), (table, grad_t))):
             ms[k], vs[k] = 0.9 * ms[k] + 0.1 * g, 0.999 * vs[k] + 0.001 * g**2
             p += rate * (ms[k] / (1 - 0.9**t)) / (np.sqrt(vs[k] / (1 - 0.999**t)) + 1e-8)
@@ -176,18 +198,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2000) -> Crf | None:
     lab = only(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     parts, stands_for = zip(*(weighted_sample(lab.where(F.col("quality") == q), "doc_id", fit_rows // 2) for q in (0, 1)))
     rows = only(docs, "doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")  # fit_rows rows at most
+    key = F.xxhash64("doc_id")  # ids of any type; what follows only needs an order that doesn't depend on the partitions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [own_and_length(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.ravel() for x, _ in got], pa.list_(pa.float64())), pa.array([n for _, n in got], pa.list_(pa.float64()))], names=["doc_id", "quality", "x", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.ravel() for x, _ in got], pa.list_(pa.float64())), pa.array([n for _, n in got], pa.list_(pa.float64()))], names=["key", "quality", "x", "n"])
 
-    sample = rows.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, x array<double>, n array<double>").toPandas().sort_values("doc_id", kind="stable")
+    sample = rows.select(key.alias("key"), "text", F.col("quality").cast("int")).mapInArrow(run, "key long, quality int, x array<double>, n array<double>").toPandas()
+    sample = sample.sort_values("key", kind="stable")
     y = sample["quality"].to_numpy()
     if set(y) != {0, 1}:
         return None
     seqs = [np.asarray(x).reshape(-1, OWN) for x in sample["x"]]
-    crf = Crf(*train(seqs, y))
+    crf = Crf(*train(seqs, y, relabelled(seqs, y, train(seqs, y, alone=True)[0])))
     mean = np.array([crf.mean(beside(x), np.asarray(n)) for x, n in zip(seqs, sample["n"])]).clip(1e-6, 1 - 1e-6)
     a, c, z = 1.0, 0.0, np.log(mean / (1 - mean))
     weight = np.array(stands_for)[y]
