@@ -4,17 +4,23 @@ On a bounded sample the graph of nearest neighbours is built and cut into balanc
 part. A small classifier (softmax regression) learns to tell a vector's part; it assigns every vector of the table to a
 part and routes every query to its most probable parts, whose vectors are ranked by the exact inner product.
 
-The sample is the only bounded thing: every vector is indexed and every query searched. A part's vectors are dealt by
-hash to blocks of bounded size, and so are the queries routed to it; a task ranks one block of queries against one block
-of vectors and returns `top` rows a query at most. Only the classifier is shipped to all tasks.
-
-Vectors that are null, zero, or hold nulls or non-finite components take no part. All others must have one length.
-Rows that share an id are separate candidates, but a query's own row (its id) is none. An empty table gives no rows.
+The sample is the only bounded thing: every vector is indexed and every query searched. Of several numbers of parts the one
+is taken with which a query is expected to cost least: the vectors of the parts it probes, of all there are, and what it
+takes to send it there. So parts grow with the table as far as the vectors have a structure that more parts can use. A
+part's vectors are dealt by hash to blocks of bounded size, and so are the queries routed to it; a task ranks one block of
+queries against one block of vectors and returns `top` rows a query at most. Only the classifier is shipped to all tasks.
+Queries that find fewer than `top` in their parts are asked again of all parts.
+
+Vectors that are null, zero, or hold nulls or non-finite components take no part, nor do those of another length than most
+have (of equally many, the shortest). Products beyond the range of a double count as infinite. Rows that share an id are
+separate candidates and separate queries, each with a ranking of its own, but no row with a query's id is a candidate of
+that query. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -45,7 +51,7 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, slack: float =
     """A part for each row: spherical clusters to begin with, then rows move to where most of their neighbours are, as
     long as no part exceeds its share by `slack`."""
     rng, n = np.random.default_rng(seed), len(x)
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)  # a scaled vector may vanish
     centre = unit[rng.choice(n, parts, replace=False)]
     room = int(np.ceil(n / parts * slack))
     for _ in range(rounds):
@@ -95,82 +101,154 @@ def train(x: np.ndarray, label: np.ndarray, parts: int, steps: int = 300, rate:
     return w.astype(np.float64)
 
 
-def probes_for(x: np.ndarray, w: np.ndarray, top: int, recall: float) -> int:
+def probes_for(x: np.ndarray, near: np.ndarray, w: np.ndarray, recall: float) -> int:
     """The least number of parts in which the sample's own nearest are found at the wanted recall."""
     z = x @ w[:-1] + w[-1]
     own, place = z.argmax(axis=1), np.empty(z.shape, np.int64)
     np.put_along_axis(place, np.argsort(-z, axis=1, kind="stable"), np.arange(z.shape[1])[None, :], axis=1)
-    near = neighbour_graph(x, min(top, len(x) - 1))
     ranks = np.take_along_axis(place, own[near], axis=1)
     return int(np.quantile(ranks, recall, method="higher")) + 1
 
 
-def fit(rows: DataFrame, fit_rows: int = 8000, parts: int = 32, neighbours: int = 10, top: int = 20, recall: float = 0.96) -> tuple[np.ndarray | None, int]:
-    """rows (id, v) to the classifier's weights (None if there are too few rows for more than one part), and the number
-    of parts to probe."""
-    sample = hash_sample(rows, "id", fit_rows).toPandas().sort_values("id", kind="stable")
-    parts = min(parts, len(sample) // 16)
-    if parts < 2:
-        return None, 1
-    x = np.stack(sample["v"].to_numpy()).astype(np.float64)
-    w = train(x, balanced_parts(x, neighbour_graph(x, neighbours), parts), parts)
-    return w, probes_for(x, w, top, recall)
+class Router(NamedTuple):
+    """The classifier's weights, the number of parts to probe, and what vectors are multiplied with before."""
+
+    weights: np.ndarray | None
+    probes: int
+    scale: float = 1.0
+
+    def ranked(self, v: np.ndarray, probes: int) -> np.ndarray:
+        """The `probes` most probable parts of each vector, the best first."""
+        if self.weights is None:
+            return np.zeros((len(v), 1), np.int32)
+        return np.argsort(-((v * self.scale) @ self.weights[:-1] + self.weights[-1]), axis=1, kind="stable")[:, :probes].astype(np.int32)
+
 
+#: What sending a query to one more part costs, in vectors that it is compared with.
+SENT = 256
 
-def route(rows: DataFrame, w: np.ndarray | None, probes: int) -> DataFrame:
-    """rows (id, v) with their `probes` most probable parts, the best first."""
+
+def fit(rows: DataFrame, n: int, fit_rows: int = 8000, parts: int | None = None, neighbours: int = 10, top: int = 20, recall: float = 0.96) -> Router:
+    """rows (id, v), n of them, to the router. Without `parts`, 32, 128 and, from a million rows on, 512 are tried."""
+    sample = hash_sample(rows, "id", fit_rows).toPandas().sort_values("id", kind="stable")
+    if len(sample) < 2:
+        return Router(None, 1)
+    x = np.stack(sample["v"].to_numpy()).astype(np.float64)
+    most = np.abs(x).max()
+    scale = 1.0 if 1e-100 < most < 1e100 else 1 / most
+    x = x * scale
+    if n <= top + 1:  # all candidates are wanted
+        recall = 1.0
+    graph, near = (neighbour_graph(x, min(k, len(x) - 1)) for k in (neighbours, top))
+    found = []
+    for p in [parts] if parts else (32, 128, 512) if n >= 1_000_000 else (32, 128):
+        p = max(2, min(p, len(x) // 16))
+        if p not in [len(w[0]) for _, w, _ in found]:
+            w = train(x, balanced_parts(x, graph, p), p)
+            probes = probes_for(x, near, w, recall)
+            found.append((probes / p * n + SENT * probes, w, probes))
+    _, w, probes = min(found, key=lambda f: f[0])
+    return Router(w, probes, scale)
+
+
+def route(rows: DataFrame, router: Router, probes: int, kept: str) -> DataFrame:
+    """rows (id, v) with their `probes` most probable parts, the best first. kept: one more long column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if w is None or not len(batch):
-                parts = np.zeros((len(batch), 1), np.int32)
-            else:
-                v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                parts = np.argsort(-(v @ w[:-1] + w[-1]), axis=1, kind="stable")[:, :probes].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(parts), pa.list_(pa.int32()))], names=["id", "v", "parts"])
+            parts = router.ranked(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64), probes) if len(batch) else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(parts), pa.list_(pa.int32()))], names=["id", "v", kept, "parts"])
+
+    return rows.select("id", "v", kept).mapInArrow(run, f"id long, v array<double>, {kept} long, parts array<int>")
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of all rows; where they could leave the range of a double, from rows scaled by powers of two."""
+    if np.abs(q).max() * x.shape[1] < 1e300 / max(np.abs(x).max(), 1):
+        return q @ x.T
+    (a, i), (b, j) = _halved(q), _halved(x)
+    with np.errstate(over="ignore"):
+        return np.ldexp(a @ b.T, i[:, None] + j[None, :])
+
+
+def _halved(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by a power of two such that their largest component is below 1, and its exponent."""
+    e = np.frexp(np.abs(x).max(axis=1))[1]
+    return np.ldexp(x, -e[:, None]), e
+
+
+def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The inner products of one vector with the rows of x, each summed in the same way."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (x * q).sum(axis=1)
+    if np.isfinite(out).all():
+        return out
+    (a, i), (b, j) = _halved(q[None, :]), _halved(x)
+    with np.errstate(over="ignore"):
+        return np.ldexp((b * a).sum(axis=1), i + j)
+
+
+def rank_block(ids: np.ndarray, q: np.ndarray, theirs: np.ndarray, x: np.ndarray, top: int) -> tuple[list, list, list]:
+    """The `top` best of the vectors x (ids `theirs`) for each query: its position, the id, the score."""
+    order = np.argsort(theirs, kind="stable")
+    theirs, x, out = theirs[order], x[order], ([], [], [])
+    for at in range(0, len(q), 256):
+        mine, some = ids[at : at + 256], q[at : at + 256]
+        s = products(some, x)
+        other = mine[:, None] != theirs[None, :]
+        s[~other] = -np.inf
+        kth = -np.partition(-s, top - 1, axis=1)[:, top - 1] if s.shape[1] > top else np.full(len(some), -np.inf)
+        # products of one kernel may differ in their last bits: all near the edge are scored again, alike
+        edge = np.where(np.isfinite(kth), kth - 1e-9 * (1 + np.abs(kth)), kth)
+        for r in range(len(some)):
+            near = np.flatnonzero((s[r] >= edge[r]) & other[r])
+            score = scores(some[r], x[near])
+            best = np.lexsort((theirs[near], -score))[:top]
+            out[0].extend([at + r] * len(best))
+            out[1].extend(theirs[near][best].tolist())
+            out[2].extend(score[best].tolist())
+    return out
+
 
-    return rows.mapInArrow(run, "id long, v array<double>, parts array<int>")
+def compared(held: DataFrame, asked: DataFrame, top: int, block: int) -> DataFrame:
+    """held (id, v, part) and asked (id, v, row, part) to row, query_id, id, score: the best of each block of vectors for each query."""
+    blocks = lambda x, name: x.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    shape = F.broadcast(blocks(held, "m").join(blocks(asked, "n"), "part"))  # one row a part
+    own = lambda name, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(name)).cast("int")
+    left = held.join(shape, "part").select("part", own("m", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"), F.lit(None).cast("long").alias("row"), "id", "v")
+    right = asked.join(shape, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"), own("n", 2).alias("j"), "row", "id", "v")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks, out = pdf["row"].notna().to_numpy(), ([], [], [])
+        v, ids = pdf["v"].to_numpy(), pdf["id"].to_numpy()
+        if asks.any() and not asks.all():
+            out = rank_block(ids[asks], np.stack(v[asks]), ids[~asks], np.stack(v[~asks]), top)
+        at = np.array(out[0], np.int64)
+        return pd.DataFrame({"row": pdf["row"].to_numpy()[asks][at].astype(np.int64), "query_id": ids[asks][at], "id": np.array(out[1], np.int64), "score": np.array(out[2], np.float64)})
+
+    return left.unionByName(right).groupBy("part", "i", "j").applyInPandas(run, "row long, query_id long, id long, score double")
 
 
-def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = 20, parts: int = 32, probes: int | None = None, recall: float = 0.96, fit_rows: int = 8000, block: int = 4096) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = 20, parts: int | None = None, probes: int | None = None, recall: float = 0.96, fit_rows: int = 8000, block: int = 4096) -> DataFrame:
     """query_id, rank (from 1), the key, score: the `top` nearest found rows of df for every row of queries. Without
     `probes`, as many parts are probed as the sample needs for the wanted recall."""
     scratch = Scratch(df.sparkSession, "ann")
     clean = lambda x: only(x, key, vector).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull())
     rows, asked = clean(df), clean(queries)
-    w, needed = fit(rows, fit_rows, parts, top=top, recall=recall)
-    held = scratch.store(route(rows, w, 1).select("id", "v", F.col("parts")[0].alias("part")), "held")
-    asked = scratch.store(route(asked, w, probes or needed).select("id", "v", F.explode("parts").alias("part")), "asked")
-    blocks = lambda x, name: x.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    shape = F.broadcast(blocks(held, "m").join(blocks(asked, "n"), "part"))  # one row a part
-    own = lambda name, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(name)).cast("int")
-    left = held.join(shape, "part").select("part", own("m", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"), F.lit(False).alias("asks"), "id", "v")
-    right = asked.join(shape, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"), own("n", 2).alias("j"), F.lit(True).alias("asks"), "id", "v")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["asks"].to_numpy()
-        ids = pdf["id"].to_numpy()
-        if asks.all() or not asks.any():
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
-        v = np.stack(pdf["v"].to_numpy())
-        order = np.argsort(ids[~asks], kind="stable")
-        theirs, x = ids[~asks][order], v[~asks][order]
-        out = [[], [], []]
-        for at in range(0, int(asks.sum()), 256):
-            mine, q = ids[asks][at : at + 256], v[asks][at : at + 256]
-            s = q @ x.T
-            s[mine[:, None] == theirs[None, :]] = -np.inf
-            kth = -np.partition(-s, top - 1, axis=1)[:, top - 1] if s.shape[1] > top else np.full(len(q), -np.inf)
-            # products of one kernel may differ in their last bits: all near the edge are scored again, alike
-            for r, c in zip(range(len(q)), (s >= (kth - 1e-9 * (1 + np.abs(kth)))[:, None])):
-                near = np.flatnonzero(c & (s[r] > -np.inf))
-                score = (x[near] * q[r]).sum(axis=1)
-                best = np.lexsort((theirs[near], -score))[:top]
-                out[0] += [mine[r]] * len(best)
-                out[1] += theirs[near][best].tolist()
-                out[2] += score[best].tolist()
-        return pd.DataFrame({"query_id": out[0], "id": out[1], "score": out[2]}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
-
-    found = left.unionByName(right).groupBy("part", "i", "j").applyInPandas(run, "query_id long, id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
+    usual = sizes.agg(F.max(F.struct("n", -F.col("d"))).alias("m")).select("m.*").first()
+    n, d = usual[0] or 0, -(usual[1] or 0)
+    rows, asked = (x.where(F.size("v") == d) for x in (rows, asked))
+    router = fit(rows, n, fit_rows, parts, top=top, recall=recall)
+    held = scratch.store(route(rows.withColumn("none", F.lit(None).cast("long")), router, 1, "none").select("id", "v", F.col("parts")[0].alias("part")), "held")
+    asked = scratch.store(route(asked.withColumn("row", F.monotonically_increasing_id()), router, 1 << 30, "row"), "asked")
+    some = asked.select("id", "v", "row", F.explode(F.slice("parts", 1, probes or router.probes)).alias("part"))
+    found = scratch.store(compared(held, some, top, block), "found")
+    several = held.groupBy("id").agg(F.count("*").alias("c"))  # rows that share a query's id are none of its candidates
+    enough = asked.select("row", "id").join(found.groupBy("row").agg(F.count("*").alias("k")), "row", "left").join(several, "id", "left")
+    short = scratch.store(enough.where(F.coalesce("k", F.lit(0)) < F.least(F.lit(top), F.lit(n) - F.coalesce("c", F.lit(0)))).select("row"), "short")
+    if short.limit(1).count():
+        again = asked.join(short, "row").select("id", "v", "row", F.explode("parts").alias("part"))
+        found = found.join(short, "row", "left_anti").unionByName(compared(held, again, top, block))
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", F.col("id").alias(key), "score")
