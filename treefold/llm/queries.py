@@ -108,6 +108,7 @@ def op1_toxicity(spark, sf_dir):
 
 @query()
 def op6_language_id(spark, sf_dir):
+    """The language of every whole text; learned from the labelled rows that aren't held out."""
     from treefold.llm import langid
 
     docs = table(spark, sf_dir, "documents")
@@ -118,6 +119,7 @@ def op6_language_id(spark, sf_dir):
 
 @query()
 def op7_quality_crf(spark, sf_dir):
+    """The quality of every whole text; learned from the labels that aren't held out."""
     from treefold.llm import linecrf
 
     docs = table(spark, sf_dir, "documents")
