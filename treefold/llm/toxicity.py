@@ -19,6 +19,7 @@ each. Extra columns are ignored by severity(), and kept by keep().
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treefold.llm.common import let_go, only, weighted_sample
+from treefold.llm.common import held, only, weighted_sample
 from treefold.llm.wordbpe import Cache
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -47,11 +48,15 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """The chances P(grade > k) of whole texts."""
+    """The chances P(grade > k) of whole texts. A worker keeps it, with what it knows of at most 300,000 chunks."""
 
     def __init__(self, model: Ordinal | None):
         self.model, weight = model, model.weight if model else {}
-        self.hits = Cache(lambda chunk: tuple(w for w in bag(chunk.decode("utf-8", "replace")) if w in weight), 300_000)
+        self.hits = Cache(lambda chunk: tuple(weight.keys() & bag(chunk.decode("utf-8", "replace"))), 300_000)
+
+    @classmethod
+    def of(cls, model: Ordinal | None) -> Scorer:
+        return held(("toxicity", model and model.name), lambda: cls(model))
 
     def above(self, text: str | None) -> np.ndarray:
         if not self.model:
@@ -66,7 +71,7 @@ class Scorer:
 class Ordinal:
     def __init__(self, words: list[str], weights: np.ndarray, thresholds: np.ndarray):
         self.words, self.weights, self.thresholds = words, weights, thresholds
-        self.weight = {w: float(x) for w, x in zip(words, weights) if x}
+        self.weight, self.name = {w: float(x) for w, x in zip(words, weights) if x}, uuid.uuid4().hex
 
     def above(self, z: float) -> np.ndarray:
         """P(grade > k) for each threshold."""
@@ -157,8 +162,7 @@ def severity(docs: DataFrame, model: Ordinal | None, key: str = "doc_id", text:
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        scorer = Scorer(model)
+        scorer = Scorer.of(model)
         for batch in batches:
             out = [[], [], []]
             for x in batch.column(1):
@@ -177,8 +181,7 @@ def keep(docs: DataFrame, model: Ordinal | None, text: str = "text") -> DataFram
     columns, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        scorer = Scorer(model)
+        scorer = Scorer.of(model)
         for batch in batches:
             stay = [bool(scorer.above(x.as_py())[0] < 0.5) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays(batch.columns, names=columns).filter(pa.array(stay, pa.bool_()))
