@@ -327,7 +327,7 @@ def test_a_batch_that_failed_can_come_again(spark, tmp_path):
     first, second = [(1, f"{passage} one")], [(2, f"two {passage}")]
     substring.extend(table(spark, first), path, None, window=12, gram=4)
     index = substring.Index.open(spark, path, 4, 3, window=12, gram=4, key="doc_id")
-    index.add(substring.post(substring.tagged(table(spark, second), "doc_id", "text"), "doc_id", "text", 12, 4))  # never saved
+    index.add(index.keep(substring.post(substring.tagged(table(spark, second), "doc_id", "text"), "doc_id", "text", 12, 4)))  # never saved
     for batch, left in ((second, "two"), ([(3, f"three {passage}")], "three")):
         spark.sql(f"DROP TABLE IF EXISTS {index.runs[0][0]}")  # as in another session
         got = substring.extend(table(spark, batch), path, table(spark, first), window=12, gram=4)

@@ -137,7 +137,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 #: Names that no column of a caller has.
-TAG, SPANS = "_treefold_tag", "_treefold_spans"
+TAG, SPANS, BATCH = "_treefold_tag", "_treefold_spans", "_treefold_batch"
 
 
 def tagged(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -145,14 +145,15 @@ def tagged(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.withColumn(TAG, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
 
 
-def post(df: DataFrame, key: str, text: str, window: int, gram: int) -> DataFrame:
-    """The postings of all regions: fp, body, the key, the tag, first, windows."""
+def post(df: DataFrame, key: str, text: str, window: int, gram: int, batches: int = 1) -> DataFrame:
+    """The postings of all regions: fp, body, the key, the tag, first, windows, and the batch of their row."""
     key_type = df.schema[key].dataType.simpleString()
+    batch_of = F.pmod(F.xxhash64(key, TAG), F.lit(batches)).cast("int")
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
             at, cols = [], [[np.empty(0, t)] for t in (np.uint64, np.uint64, np.int64, np.int64)]
-            for i, x in enumerate(batch.column(2)):
+            for i, x in enumerate(batch.column(3)):
                 words = words_of(x.as_py())
                 if len(words) < window:
                     continue
@@ -162,12 +163,10 @@ def post(df: DataFrame, key: str, text: str, window: int, gram: int) -> DataFram
                     c.append(v)
             fp, body, first, count = (np.concatenate(c) for c in cols)
             rows = pa.array(np.concatenate([np.empty(0, np.int64), *at]))
-            yield pa.RecordBatch.from_arrays(
-                [_signed(fp), _signed(body), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int16))],
-                names=["fp", "body", key, TAG, "first", "windows"],
-            )
+            own = [batch.column(k).take(rows) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([_signed(fp), _signed(body), own[0], own[1], pa.array(first.astype(np.int32)), pa.array(count.astype(np.int16)), own[2]], names=["fp", "body", key, TAG, "first", "windows", BATCH])
 
-    return df.select(key, TAG, text).mapInArrow(run, f"fp long, body long, `{key}` {key_type}, {TAG} int, first int, windows short")
+    return df.select(key, TAG, batch_of.alias(BATCH), text).mapInArrow(run, f"fp long, body long, `{key}` {key_type}, {TAG} int, first int, windows short, {BATCH} int")
 
 
 class Index:
@@ -226,11 +225,14 @@ class Index:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.scratch.drop(name)
 
-    def add(self, postings: DataFrame) -> DataFrame:
-        """Takes in a batch. Returns the fps that the batch shares with itself or with any older run."""
-        older, name = [n for n, _ in self.runs], f"postings_{uuid.uuid4().hex}"
-        made = self.scratch.store(postings, name)
-        self.made.append(name)
+    def keep(self, postings: DataFrame) -> DataFrame:
+        """Stores a batch's postings beside the runs."""
+        self.made.append(f"postings_{uuid.uuid4().hex}")
+        return self.scratch.store(postings, self.made[-1])
+
+    def add(self, made: DataFrame) -> DataFrame:
+        """Takes in a batch by its stored postings. Returns the fps that the batch shares with itself or with any older run."""
+        older = [n for n, _ in self.runs]
         new = self.spark.table(self.write(made.groupBy("fp").agg(F.count("*").alias("n")), 0))
         shared = new.where("n >= 2").select("fp")
         for name in older:
@@ -257,7 +259,6 @@ class Index:
         """Ends an index that isn't kept."""
         for n in [*self.gone, *[n for n, _ in self.runs]]:
             self.remove(n)
-        self.scratch.drop(*self.made)
 
 
 class Folder(Scratch):
@@ -301,25 +302,28 @@ def _by_row(a: DataFrame, b: DataFrame, key: str, how: str) -> DataFrame:
 def repeated(df: DataFrame, scratch: Scratch, key: str, text: str, window: int = 35, gram: int = 10, batches: int = 3, fan: int = 3) -> DataFrame:
     """df (tagged) to its repeated windows, by row: the key, the tag, first, windows, js (null: all of them)."""
     index, shared = Index(scratch, shuffle_partitions(df.sparkSession), fan), None
+    made = scratch.store(post(df, key, text, window, gram, batches), "postings", BATCH)  # one pass over the texts
     for k in range(batches):
-        batch = df.where(F.pmod(F.xxhash64(key, TAG), F.lit(batches)) == k)
-        found = scratch.store(index.add(post(batch, key, text, window, gram)), f"shared{k}")
+        found = scratch.store(index.add(made.where(F.col(BATCH) == k)), f"shared{k}")
         shared = found if shared is None else shared.unionByName(found)
         index.compact()
-    every = index.postings()
-    out = verified(every, every, shared, df, scratch, key, text, window)
+    hits = matched(made.drop(BATCH), shared, scratch, "hits")
     index.close()
-    scratch.drop(*[f"shared{k}" for k in range(batches)])
-    return out
+    scratch.drop("postings", *[f"shared{k}" for k in range(batches)])
+    return verified(hits, hits, df, scratch, key, text, window)
+
+
+def matched(postings: DataFrame, shared: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The postings with shared fingerprints. Those are stored, so that Spark may split the postings of one that has very many."""
+    shared = scratch.store(shared.distinct(), f"{name}-shared")
+    hits = scratch.store(postings.join(shared, "fp", "left_semi"), name)
+    scratch.drop(f"{name}-shared")
+    return hits
 
 
-def verified(postings: DataFrame, wanted: DataFrame, shared: DataFrame, df: DataFrame, scratch: Scratch, key: str, text: str, window: int) -> DataFrame:
-    """Of the postings `wanted` the windows that occur elsewhere in `postings`: the key, the tag, first, windows, js. Only
-    fingerprints in `shared` are looked at; the texts come from df."""
-    # stored, so that Spark may split the other side of the joins where one fingerprint has very many rows
-    shared = scratch.store(shared.distinct(), "shared")
-    hits = scratch.store(postings.join(shared, "fp", "left_semi"), "hits")
-    mine = hits if wanted is postings else scratch.store(wanted.join(shared, "fp", "left_semi"), "mine")
+def verified(hits: DataFrame, mine: DataFrame, df: DataFrame, scratch: Scratch, key: str, text: str, window: int) -> DataFrame:
+    """Of the postings `mine` the windows that occur elsewhere in `hits`: the key, the tag, first, windows, js. All postings of
+    a fingerprint are in hits; the texts come from df."""
     bodies = hits.groupBy("fp", "body").agg(F.count("*").alias("n"), F.min(F.struct(key, TAG, "first", "windows")).alias("s"))
     bodies = scratch.store(bodies, "bodies")
     several = scratch.store(bodies.groupBy("fp").count().where("count >= 2").select("fp"), "several")
@@ -332,7 +336,7 @@ def verified(postings: DataFrame, wanted: DataFrame, shared: DataFrame, df: Data
     whole = bodies.where("n >= 2").select("fp", "body", F.lit(None).cast("array<smallint>").alias("js"))
     gone = scratch.store(whole.unionByName(some.join(whole.select("fp", "body"), ["fp", "body"], "left_anti")), "gone")
     out = scratch.store(mine.join(gone, ["fp", "body"]).select(key, TAG, "first", "windows", "js"), "spans")
-    scratch.drop("shared", "hits", "mine", "several", "bodies", "windows", "twice", "gone")
+    scratch.drop("hits", "mine", "several", "bodies", "windows", "twice", "gone")
     return out
 
 
@@ -424,10 +428,12 @@ def extend(batch: DataFrame, path: str, history: DataFrame | None, key: str = "d
     documents = only(rows, key, text, TAG)
     if history is not None:
         documents = documents.unionByName(tagged(only(history, key, text), key, text))
-    shared = index.add(post(only(rows, key, text, TAG), key, text, window, gram))
-    spans = verified(index.postings(), index.postings(len(index.made) - 1), shared, documents, scratch, key, text, window)
+    shared = index.add(index.keep(post(only(rows, key, text, TAG), key, text, window, gram).drop(BATCH)))
+    shared = scratch.store(shared, "shared")
+    hits, mine = matched(index.postings(), shared, scratch, "hits"), matched(index.postings(len(index.made) - 1), shared, scratch, "mine")
+    spans = verified(hits, mine, documents, scratch, key, text, window)
     out = scratch.store(_cut(_beside(rows, spans, key), batch, text, window), "cut")
     index.compact()
     index.save()
-    scratch.drop("spans")
+    scratch.drop("shared", "spans")
     return out
