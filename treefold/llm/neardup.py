@@ -163,7 +163,7 @@ def link(nodes: DataFrame, docs: DataFrame, scratch: Scratch, key: str, text: st
     both = met.join(nodes.select("sid", F.col("sig").alias("x")), "sid").join(nodes.select(F.col("sid").alias("p"), F.col("sig").alias("y")), "p")
     hits = both.select("sid", "p", F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda z: z)).alias("hits")).where(F.col("hits") >= matches)
     best = scratch.store(hits.groupBy("sid").agg(F.max(F.struct("hits", "p")).alias("z")).select(F.col("sid").alias("b"), F.col("z.p").alias("a")), "pairs")
-    scratch.drop("pivots", collect=False)
+    scratch.drop("pivots")  # and the shuffles so far: texts come next
     wanted = best.select(F.col("a").alias("sid")).unionByName(best.select(F.col("b").alias("sid"))).distinct()
     texts = scratch.store(_texts(wanted, nodes, docs, key, text), "texts")
     edges = scratch.store(confirm(best, texts, size, percent).where("linked").select("a", "b"), "edges")
