@@ -52,7 +52,13 @@ class Scorer:
 
     def __init__(self, model: Ordinal | None):
         self.model, weight = model, model.weight if model else {}
-        self.hits = Cache(lambda chunk: tuple(weight.keys() & bag(chunk.decode("utf-8", "replace"))), 300_000)
+        starts = {f.rstrip("*")[:4] for f in weight}  # most words share no feature's beginning
+
+        def hits(chunk: bytes) -> tuple:
+            found = LETTERS.findall(chunk.decode("utf-8", "replace").lower())
+            return tuple({f for w in found if w[:4] in starts for f in parts(w) if f in weight})
+
+        self.hits = Cache(hits, 300_000)
 
     @classmethod
     def of(cls, model: Ordinal | None) -> Scorer:
