@@ -175,7 +175,7 @@ class Index:
     the index in the order in which they were made.
 
     Everything lies in the folder of `scratch`. save() makes the state last by one more manifest; until then, what was
-    added since isn't part of the index, and open() removes it.
+    added since isn't part of the index, and open() removes it. One writer at a time.
     """
 
     def __init__(self, scratch: Scratch, buckets: int, fan: int = 3):
@@ -202,7 +202,7 @@ class Index:
                 spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (fp BIGINT, n BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {found.buckets} BUCKETS LOCATION '{place}'")
         found.settings = settings
         stay = {f"manifest-{found.version}", *found.made, *[n for n, _ in found.runs]}
-        if left := [n for n in names if n not in stay]:
+        if left := [n for n in names if n.startswith(("run_", "postings_", "manifest-")) and n not in stay]:
             found.scratch.drop(*left)
         return found
 
