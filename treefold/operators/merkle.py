@@ -1,8 +1,8 @@
 """Order-independent hashes of directories.
 
 A directory's hash is the digest of its children's raw digests, sorted by hash. Names, types and sizes take no part; a
-NULL child adds no bytes but counts. One shuffle by parent per level of the tree. The leaves are stored once, a folder per
-depth, and so is each level's result, since the next level and the final union both read it.
+NULL child adds no bytes but counts. One shuffle by parent per level of the tree. The leaves are stored once, sorted by
+depth within each file, and so is each level's result, since the next level and the final union both read it.
 """
 
 from __future__ import annotations
@@ -29,14 +29,19 @@ def fold_level(nodes: DataFrame, algorithm: str) -> DataFrame:
         .agg(_children().alias("c"))
         .select("path", F.col("c.h").alias("children"))
     )
-    raw = F.unhex(F.concat_ws("", F.transform(F.filter("children", lambda h: ~h.startswith("NULL:")), lambda h: F.split(h, ":")[1])))
+    raw = F.unhex(F.concat_ws("", F.transform(F.filter("children", lambda h: ~h.startswith("NULL:")), lambda h: F.substring_index(h, ":", -1))))
     return got.select("path", hashing.digest(raw, algorithm).alias("hash"), F.size("children").cast("long").alias("size"), "children")
 
 
+def _by_depth(nodes: DataFrame) -> DataFrame:
+    """With their depth, and sorted by it within each file, so that reading a level skips the row groups of others."""
+    return nodes.withColumn("depth", paths.depth(F.col("path"))).sortWithinPartitions("depth")
+
+
 def tree(leaves: DataFrame, algorithm: str = "SHA256", directories: DataFrame | None = None, include_root: bool = False, include_empty: bool = False) -> DataFrame:
     """The leaves' records and those of all directories above them, stored: leaves are computed once."""
     scratch, columns = Scratch(leaves.sparkSession, "tree"), leaves.columns
-    held = scratch.store(leaves.withColumn("depth", paths.depth(F.col("path"))), "leaves", "depth")
+    held = scratch.store(_by_depth(leaves), "leaves")
     return held.select(*columns).unionByName(_fold(held, scratch, algorithm, directories, include_root, include_empty).select(*columns))
 
 
@@ -48,7 +53,7 @@ def fold(leaves: DataFrame, algorithm: str = "SHA256", directories: DataFrame |
     Returns path, file_type, modified, size, hash, children.
     """
     scratch = Scratch(leaves.sparkSession, "fold")
-    held = scratch.store(leaves.select("path", "hash", paths.depth(F.col("path")).alias("depth")), "leaves", "depth")
+    held = scratch.store(_by_depth(leaves.select("path", "hash")), "leaves")
     return _fold(held, scratch, algorithm, directories, include_root, include_empty)
 
 
@@ -58,7 +63,7 @@ def _fold(leaves: DataFrame, scratch: Scratch, algorithm: str, directories: Data
     if include_empty and directories is not None:
         held = leaves.select(paths.parent(F.col("path")).alias("path")).unionByName(directories.select(paths.parent(F.col("path")).alias("path"))).distinct()
         empty = directories.select("path").join(held, "path", "left_anti").select("path", hashing.digest(F.lit(b""), algorithm).alias("hash"))
-        empty = scratch.store(empty.withColumn("depth", paths.depth(F.col("path"))), "empty", "depth")
+        empty = scratch.store(_by_depth(empty), "empty")
         leaves = leaves.unionByName(empty)
     top = 0 if include_root else 1
     deepest = leaves.agg(F.max("depth")).first()[0]
