@@ -243,12 +243,13 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
     held = scratch.store(route(rows.withColumn("none", F.lit(None).cast("long")), router, 1, "none").select("id", "v", F.col("parts")[0].alias("part")), "held")
     asked = scratch.store(route(asked.withColumn("row", F.monotonically_increasing_id()), router, 1 << 30, "row"), "asked")
     some = asked.select("id", "v", "row", F.explode(F.slice("parts", 1, probes or router.probes)).alias("part"))
-    found = scratch.store(compared(held, some, top, block), "found")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "id")
+    first = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    ranked = scratch.store(first(compared(held, some, top, block)), "ranked")
     several = held.groupBy("id").agg(F.count("*").alias("c"))  # rows that share a query's id are none of its candidates
-    enough = asked.select("row", "id").join(found.groupBy("row").agg(F.count("*").alias("k")), "row", "left").join(several, "id", "left")
+    enough = asked.select("row", "id").join(ranked.groupBy("row").agg(F.count("*").alias("k")), "row", "left").join(several, "id", "left")
     short = scratch.store(enough.where(F.coalesce("k", F.lit(0)) < F.least(F.lit(top), F.lit(n) - F.coalesce("c", F.lit(0)))).select("row"), "short")
     if short.limit(1).count():
         again = asked.join(short, "row").select("id", "v", "row", F.explode("parts").alias("part"))
-        found = found.join(short, "row", "left_anti").unionByName(compared(held, again, top, block))
-    best = Window.partitionBy("row").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", F.col("id").alias(key), "score")
+        ranked = ranked.join(short, "row", "left_anti").unionByName(first(compared(held, again, top, block)))
+    return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
