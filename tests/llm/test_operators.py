@@ -321,6 +321,42 @@ def test_index_outlives_the_call(spark, texts, tmp_path):
         substring.extend(rows, path, None, window=13, gram=4)
 
 
+def test_compaction_merges_runs(spark):
+    index = substring.Index(Scratch(spark, "runs"), 4, fan=3)
+    for k in range(3):
+        index.add(spark.range(10 * k, 100).select(F.col("id").alias("fp")))
+    index.compact()
+    [(run, tier)] = index.runs
+    assert tier == 1 and {tuple(r) for r in spark.table(run).collect()} == {(x, 1 + (x >= 10) + (x >= 20)) for x in range(100)} and spark.table(run).count() == 100
+    index.close()
+
+
+def test_a_call_writes_few_files(spark, texts, monkeypatch):
+    """No run is compacted that nothing reads, and lists of keys don't get a file for each partition of a shuffle."""
+    files, tiers, store, write = {}, [], Scratch.store, substring.Index.write
+
+    def stored(self, df, name, *by, **how):
+        out = store(self, df, name, *by, **how)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(Scratch, "store", stored)
+    monkeypatch.setattr(substring.Index, "write", lambda self, counts, tier: tiers.append(tier) or write(self, counts, tier))
+    docs = table(spark, texts)
+    held = {"spark.sql.shuffle.partitions": "160", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = Counter(map(tuple, substring.mark(docs, window=12, gram=4).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_windows(texts, 12)
+    assert tiers == [0, 0, 0] and not [n for n in files if n.startswith("shared")]
+    assert max(files[n] for n in ("hits-shared", "several", "twice", "gone")) <= 40, files
+
+
 def test_a_batch_that_failed_can_come_again(spark, tmp_path):
     path, rng = str(tmp_path / "index"), random.Random(41)
     passage = prose(rng, 50)

@@ -231,22 +231,23 @@ class Index:
         return self.scratch.store(postings, self.made[-1])
 
     def add(self, made: DataFrame) -> DataFrame:
-        """Takes in a batch by its stored postings. Returns the fps that the batch shares with itself or with any older run."""
+        """Takes in a batch by its stored postings. Returns the fps that the batch shares with itself or with any older run,
+        read from the runs, which stay until save() or close()."""
         older = [n for n, _ in self.runs]
-        new = self.spark.table(self.write(made.groupBy("fp").agg(F.count("*").alias("n")), 0))
-        shared = new.where("n >= 2").select("fp")
-        for name in older:
-            shared = shared.unionByName(new.select("fp").join(self.spark.table(name).select("fp"), "fp", "left_semi"))
+        shared = self.spark.table(self.write(made.groupBy("fp").agg(F.count("*").alias("n")), 0))
+        seen = F.col("n") >= 2
+        for k, name in enumerate(older):
+            shared = shared.join(self.spark.table(name).select("fp", F.lit(True).alias(f"in{k}")), "fp", "left")
+            seen |= F.col(f"in{k}").isNotNull()
         free(self.spark)
-        return shared
+        return shared.where(seen).select("fp")
 
     def compact(self) -> None:
         """Merges the runs of a tier into one of the next, while any tier has `fan` of them."""
         while full := [t for t in {t for _, t in self.runs} if sum(x == t for _, x in self.runs) >= self.fan]:
             names = [n for n, t in self.runs if t == full[0]]
-            merged = self.spark.table(names[0])
-            for n in names[1:]:
-                merged = merged.unionByName(self.spark.table(n))
+            # read as files: over a union of bucketed tables Spark 4.1 sums without bringing equal fps together
+            merged = self.spark.read.schema("fp long, n long").parquet(*[self.scratch.path(n) for n in names]).repartition(self.buckets, "fp")
             self.write(merged.groupBy("fp").agg(F.sum("n").alias("n")), full[0] + 1)
             self.runs = [r for r in self.runs if r[0] not in names]
             self.gone += names
@@ -304,18 +305,20 @@ def repeated(df: DataFrame, scratch: Scratch, key: str, text: str, window: int =
     index, shared = Index(scratch, shuffle_partitions(df.sparkSession), fan), None
     made = scratch.store(post(df, key, text, window, gram, batches), "postings", BATCH)  # one pass over the texts
     for k in range(batches):
-        found = scratch.store(index.add(made.where(F.col(BATCH) == k)), f"shared{k}")
+        found = index.add(made.where(F.col(BATCH) == k))
         shared = found if shared is None else shared.unionByName(found)
-        index.compact()
+        if k + 1 < batches:  # after the last one nothing reads a run but what is shared
+            index.compact()
     hits = matched(made.drop(BATCH), shared, scratch, "hits")
     index.close()
-    scratch.drop("postings", *[f"shared{k}" for k in range(batches)])
+    scratch.drop("postings")
     return verified(hits, hits, df, scratch, key, text, window)
 
 
 def matched(postings: DataFrame, shared: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The postings with shared fingerprints. Those are stored, so that Spark may split the postings of one that has very many."""
-    shared = scratch.store(shared.distinct(), f"{name}-shared")
+    """The postings with shared fingerprints, of which some may come several times. Those are stored, so that Spark may split
+    the postings of one that has very many."""
+    shared = scratch.store(shared, f"{name}-shared", few=True)
     hits = scratch.store(postings.join(shared, "fp", "left_semi"), name)
     scratch.drop(f"{name}-shared")
     return hits
@@ -326,15 +329,15 @@ def verified(hits: DataFrame, mine: DataFrame, df: DataFrame, scratch: Scratch,
     a fingerprint are in hits; the texts come from df."""
     bodies = hits.groupBy("fp", "body").agg(F.count("*").alias("n"), F.min(F.struct(key, TAG, "first", "windows")).alias("s"))
     bodies = scratch.store(bodies, "bodies")
-    several = scratch.store(bodies.groupBy("fp").count().where("count >= 2").select("fp"), "several")
+    several = scratch.store(bodies.groupBy("fp").count().where("count >= 2").select("fp"), "several", few=True)
     opened = bodies.join(several, "fp", "left_semi").select("fp", "body", "s.*")
     windows = scratch.store(_open(df, opened, key, text, window), "windows")
     free(df.sparkSession)
     # a row that stands several times is opened as often, so bodies are counted, not rows
-    twice = scratch.store(windows.groupBy("w1", "w2").agg(F.min(F.struct("fp", "body")).alias("a"), F.max(F.struct("fp", "body")).alias("b")).where("a <> b").select("w1", "w2"), "twice")
+    twice = scratch.store(windows.groupBy("w1", "w2").agg(F.min(F.struct("fp", "body")).alias("a"), F.max(F.struct("fp", "body")).alias("b")).where("a <> b").select("w1", "w2"), "twice", few=True)
     some = windows.join(twice, ["w1", "w2"], "left_semi").groupBy("fp", "body").agg(F.sort_array(F.collect_set("j")).alias("js"))
     whole = bodies.where("n >= 2").select("fp", "body", F.lit(None).cast("array<smallint>").alias("js"))
-    gone = scratch.store(whole.unionByName(some.join(whole.select("fp", "body"), ["fp", "body"], "left_anti")), "gone")
+    gone = scratch.store(whole.unionByName(some.join(whole.select("fp", "body"), ["fp", "body"], "left_anti")), "gone", few=True)
     out = scratch.store(mine.join(gone, ["fp", "body"]).select(key, TAG, "first", "windows", "js"), "spans")
     scratch.drop("hits", "mine", "several", "bodies", "windows", "twice", "gone")
     return out

@@ -57,8 +57,11 @@ class Scratch:
     def path(self, name: str) -> str:
         return os.path.join(self.top, name)
 
-    def store(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """by: a column with few values, each of which gets a folder that a filter on it reads alone."""
+    def store(self, df: DataFrame, name: str, by: str | None = None, few: bool = False) -> DataFrame:
+        """by: a column with few values, each of which gets a folder that a filter on it reads alone. few: for short lists
+        of keys, which are dealt out anew so that they don't get a file for each partition of a shuffle."""
+        if few:
+            df = df.repartition(max(4 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 4))
         to = df.write.mode("overwrite")
         (to.partitionBy(by) if by else to).parquet(self.path(name))
         return self.load(name, df)
